@@ -1,0 +1,7 @@
+"""Streaming.
+
+The analysed dashboard is a batch report: it has no stream source, watermark,
+event-time window or stateful operator, so none is built here. Logs that land
+as daily partitions are handled by re-running the batch plan for the window
+(partition pruning on ``logdate`` keeps that proportional to the window).
+"""
