@@ -19,13 +19,13 @@ DELIVERY_LOG = T.StructType(
         T.StructField("OrderId", T.LongType()),
         T.StructField("LineItemId", T.LongType()),
         T.StructField("CreativeId", T.IntegerType()),
-        T.StructField("CreativeVersion", T.DoubleType()),
+        T.StructField("CreativeVersion", T.IntegerType()),
         T.StructField("CreativeSize", T.StringType()),
         T.StructField("AdUnitId", T.LongType()),
         T.StructField("CityId", T.IntegerType()),
         T.StructField("Time", T.TimestampNTZType()),
-        T.StructField("TimeUsec", T.DoubleType()),
-        T.StructField("Product", T.DoubleType()),
+        T.StructField("TimeUsec", T.LongType()),
+        T.StructField("Product", T.StringType()),
         T.StructField("AdvertiserId", T.StringType()),
         T.StructField("CustomTargeting", T.MapType(T.StringType(), T.StringType())),
     ]

@@ -6,6 +6,11 @@ that are not available here, so they are derived from ``lineitem`` and
 tables are passed in as DataFrames) and, as a ``WITH`` prelude, in DuckDB for
 the oracle, so both engines see identical rows.
 
+Serve-key types follow the inferred production schema (``CreativeVersion``
+int, ``TimeUsec`` bigint, ``Product`` string); each is a one-to-one image of
+its source column, so the set of matching click/impression pairs is the same
+as with the raw values.
+
 What the stand-ins contain on purpose: users without an id in the targeting
 map, NULL match keys, duplicate clicks, impressions without clicks, exact
 duplicate score rows, NULL scores and deciles, several scores for one
@@ -38,13 +43,13 @@ STANDIN_SQL: dict[str, str] = {
                l.l_suppkey % 100 as OrderId,
                l.l_partkey % 20 as LineItemId,
                l.l_linenumber as CreativeId,
-               l.l_quantity as CreativeVersion,
+               cast(l.l_quantity as int) as CreativeVersion,
                l.l_linestatus as CreativeSize,
                l.l_orderkey as AdUnitId,
                nullif(cast(round(l.l_tax * 100) as int), 0) as CityId,
                l.l_shipdate as Time,
-               l.l_extendedprice as TimeUsec,
-               l.l_discount as Product,
+               cast(round(l.l_extendedprice * 100) as bigint) as TimeUsec,
+               cast(cast(round(l.l_discount * 100) as int) as varchar(8)) as Product,
                o.o_orderstatus as AdvertiserId,
                l.l_returnflag as flag,
                case when o.o_custkey % 11 = 0 then {MAP_X} else {MAP_XID} end as CustomTargeting
