@@ -35,43 +35,68 @@ def _models_frame(spark: SparkSession, models) -> DataFrame:
     return spark.createDataFrame([(m,) for m in distinct], "model string")
 
 
+def score_counts(scores_dedup: DataFrame) -> DataFrame:
+    """Distinct score rows per ``(xid, date, tid, decile)`` as ``n_rows``.
+
+    Counting before the join bounds its output: a user-day meets at most one
+    row per (model, decile), however many distinct scores the table holds for
+    it. The count is a two-phase aggregate, so even a placeholder user id that
+    carries a third of all score rows collapses map-side before any shuffle;
+    only the small counted frame is then hash-partitioned on ``(xid, date)``
+    for the join, whose user-day side keeps its own partitioning.
+    """
+    return (
+        scores_dedup.groupBy(F.col("xid").alias("s_xid"), F.col("date").alias("s_date"), "tid", "decile")
+        .agg(F.count(F.lit(1)).alias("n_rows"))
+    )
+
+
 def decile_sums(user_days: DataFrame, scores_dedup: DataFrame, models) -> DataFrame:
     """Impressions and clicks per ``(model, tid, decile)``.
 
     For model m: rows with ``tid = m`` for every decile it assigned (a user-day
     with several distinct score rows counts once per row), and one row with
-    ``tid`` and ``decile`` NULL for the user-days m did not score.
+    ``tid`` and ``decile`` NULL for the user-days m did not score -- what a
+    separate left join of the user-days with m's scores gives, for all models
+    in one pass.
     """
     models = list(dict.fromkeys(models))
     tid_type = scores_dedup.schema["tid"].dataType
-    s = scores_dedup.select(
-        F.col("xid").alias("s_xid"), F.col("date").alias("s_date"), "tid", "decile"
-    )
-    # xid first, then date: the same key order as the user-day grouping, so the
-    # user-day side keeps its partitioning and is not shuffled again.
+    s = score_counts(scores_dedup)
+    # xid first, then date: the key order of the user-day grouping.
     joined = user_days.join(
         s, (F.col("xid_imp") == F.col("s_xid")) & (F.col("date") == F.col("s_date")), "left"
     )
-    scored = joined.filter(F.col("tid").isNotNull()).select(
-        F.col("tid").cast("string").alias("model"), "tid", "decile", "impressions", "clicks"
+    hit = F.struct(
+        F.col("tid").cast("string").alias("model"),
+        F.col("tid").alias("tid"),
+        F.col("decile").alias("decile"),
+        F.col("n_rows").alias("n_rows"),
     )
-    # Models that did not score a user-day. Grouping by the user-day key reuses
-    # the join's partitioning (no shuffle); the set holds at most len(models) ids.
+    # Grouping by the user-day key keeps the join's partitioning (no shuffle).
+    # Both lists are bounded by models x deciles, never by the data volume.
     per_day = joined.groupBy("xid_imp", "date").agg(
         F.max("impressions").alias("impressions"),
         F.max("clicks").alias("clicks"),
+        F.collect_list(F.when(F.col("tid").isNotNull(), hit)).alias("hits"),
         F.collect_set(F.col("tid").cast("string")).alias("seen"),
     )
     wanted = F.array(*[F.lit(m) for m in models])
-    unscored = per_day.select(
-        F.explode(F.array_except(wanted, F.col("seen"))).alias("model"),
-        F.lit(None).cast(tid_type).alias("tid"),
-        F.lit(None).cast(T.IntegerType()).alias("decile"),
-        "impressions",
-        "clicks",
+    missing = F.transform(
+        F.array_except(wanted, F.col("seen")),
+        lambda m: F.struct(
+            m.alias("model"),
+            F.lit(None).cast(tid_type).alias("tid"),
+            F.lit(None).cast(T.IntegerType()).alias("decile"),
+            F.lit(1).cast("bigint").alias("n_rows"),
+        ),
     )
-    return scored.unionByName(unscored).groupBy("model", "tid", "decile").agg(
-        F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks")
+    rows = per_day.select("impressions", "clicks", F.explode(F.concat("hits", missing)).alias("r"))
+    return rows.groupBy(
+        F.col("r.model").alias("model"), F.col("r.tid").alias("tid"), F.col("r.decile").alias("decile")
+    ).agg(
+        F.sum(F.col("impressions") * F.col("r.n_rows")).alias("impressions"),
+        F.sum(F.col("clicks") * F.col("r.n_rows")).alias("clicks"),
     )
 
 
