@@ -120,13 +120,15 @@ def _dense(frame: DataFrame, spine: DataFrame, key: str) -> DataFrame:
     # ``frame`` holds at most one row per (model, key) of the spine, so the
     # broadcast side is bounded by the spine size (models x 10 or x 3).
     cells = frame.filter(F.col("tid").isNotNull()).select("model", key, "impressions", "clicks")
-    return spine.join(F.broadcast(cells), ["model", key], "left").select(
+    dense = spine.join(F.broadcast(cells), ["model", key], "left").select(
         "model",
         key,
         F.coalesce(F.col("impressions"), F.lit(0)).cast("bigint").alias("impressions"),
         F.coalesce(F.col("clicks"), F.lit(0)).cast("bigint").alias("clicks"),
         ctr_percent_safe().alias("ctr"),
     )
+    # Heatmap cell text: the two-decimal CTR with a percent sign.
+    return dense.withColumn("ctr_label", F.concat(F.format_number("ctr", 2), F.lit(" %")))
 
 
 def ctr_by_decile_dense(decile_frame: DataFrame, models) -> DataFrame:

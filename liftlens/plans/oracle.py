@@ -194,7 +194,8 @@ select * from scores order by xid nulls first, date nulls first, tid nulls first
         "ctr_by_decile_models": f"{pre}\nselect model, {ctr_cols} from dec_all",
         "ctr_by_decile_dense": f"""{pre}
 select m.model, cast(r.v as int) as decile, cast(coalesce(x.impressions, 0) as bigint) as impressions,
-       cast(coalesce(x.clicks, 0) as bigint) as clicks, {_ctr('x.clicks', 'x.impressions')} as ctr
+       cast(coalesce(x.clicks, 0) as bigint) as clicks, {_ctr('x.clicks', 'x.impressions')} as ctr,
+       format('{{:.2f}}', {_ctr('x.clicks', 'x.impressions')}) || ' %' as ctr_label
 from {models_values} cross join {deciles}
 left join dec_all x on x.model = m.model and x.decile = r.v and x.tid is not null""",
         "ctr_by_decile_report": f"""{pre}
@@ -205,7 +206,8 @@ select model, decile, format('{{:,}}', impressions) as impressions, format('{{:,
         "ctr_by_band_models": f"{pre}\nselect model, {band_cols} from band_all",
         "ctr_by_band_dense": f"""{pre}
 select m.model, r.v as DecileGroup, cast(coalesce(x.impressions, 0) as bigint) as impressions,
-       cast(coalesce(x.clicks, 0) as bigint) as clicks, {_ctr('x.clicks', 'x.impressions')} as ctr
+       cast(coalesce(x.clicks, 0) as bigint) as clicks, {_ctr('x.clicks', 'x.impressions')} as ctr,
+       format('{{:.2f}}', {_ctr('x.clicks', 'x.impressions')}) || ' %' as ctr_label
 from {models_values} cross join {bands}
 left join band_all x on x.model = m.model and x.DecileGroup = r.v and x.tid is not null""",
         "ctr_by_band_report": f"""{pre}
