@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from liftlens.plans.queries import QUERIES, dashboard
+from liftlens.plans.queries import FIXTURE_PARAMS, LINE_ITEM_IDS, dashboard
 from liftlens.sources.catalog import read_salary
 from tests.conftest import SF0001, SF001
 
@@ -13,7 +13,7 @@ from tests.conftest import SF0001, SF001
     [(SF0001, 3459, 1147, 847, (3485, 1076)), (SF001, 19782, 6659, 7464, (19905, 6239))],
 )
 def test_log_rollup(spark, sf_dir, n_imps, n_clicks, n_user_days, sums):
-    d = dashboard(spark, sf_dir)
+    d = dashboard(spark, sf_dir, FIXTURE_PARAMS)
     assert d.impressions().count() == n_imps
     assert d.clicks().count() == n_clicks
     ud = d.user_days
@@ -23,7 +23,8 @@ def test_log_rollup(spark, sf_dir, n_imps, n_clicks, n_user_days, sums):
 
 
 def test_line_item_variant(spark):
-    assert QUERIES["clicks_impressions_by_user_day_line_items"](spark, SF0001).count() == 554
+    p = FIXTURE_PARAMS.with_line_items(LINE_ITEM_IDS)
+    assert dashboard(spark, SF0001, p).user_days.count() == 554
 
 
 @pytest.mark.parametrize(
@@ -34,7 +35,7 @@ def test_line_item_variant(spark):
     ],
 )
 def test_z_test(spark, sf_dir, h1, h2, z, p):
-    r = QUERIES["z_test_high_band"](spark, sf_dir).collect()[0]
+    r = dashboard(spark, sf_dir, FIXTURE_PARAMS).z_test_high_band().collect()[0]
     assert (r.clicks_1, r.impressions_1) == h1
     assert (r.clicks_2, r.impressions_2) == h2
     assert r.z == pytest.approx(z, abs=1e-9)
@@ -42,7 +43,7 @@ def test_z_test(spark, sf_dir, h1, h2, z, p):
 
 
 def test_unscored_rows(spark):
-    rows = QUERIES["ctr_by_decile"](spark, SF0001).collect()
+    rows = dashboard(spark, SF0001, FIXTURE_PARAMS).ctr_by_decile([FIXTURE_PARAMS.model1]).collect()
     un = {(r.tid is None): (r.clicks, r.impressions, r.ctr) for r in rows if r.decile is None}
     assert un[True] == (864, 2825, 30.58)
     assert un[False] == (1, 8, 12.5)
@@ -50,11 +51,12 @@ def test_unscored_rows(spark):
 
 
 def test_overlap_and_correlation(spark):
-    r = QUERIES["score_correlation"](spark, SF0001).collect()[0]
+    d = dashboard(spark, SF0001, FIXTURE_PARAMS)
+    r = d.score_correlation().collect()[0]
     assert r.n_users == 71
     assert r.correlation == pytest.approx(0.064287581, abs=1e-9)
-    assert QUERIES["overlap_by_decile"](spark, SF0001).count() == 51
-    assert QUERIES["order_names"](spark, SF0001).count() == 60
+    assert d.overlap_by_decile().count() == 51
+    assert d.order_names().count() == 60
 
 
 def test_salary_csv(spark):
