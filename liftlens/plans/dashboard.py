@@ -3,15 +3,14 @@ frame and a shared deduplicated score frame, so the log join is planned once
 (the analysed notebook re-ran it for each of its twelve displays and fetches).
 
 Call :meth:`Dashboard.materialize` before pulling several reports: it writes
-the user-day frame to the shared checkpoint folder, which cuts the lineage
-(losing an executor later never re-runs the log join) and lets every report
-start from the much smaller rollup.
+the user-day rollup, the per-model decile sums and the overlap pair frame to
+the shared checkpoint folder. That cuts the lineage (losing an executor later
+never re-runs the log join or the score scans) and every report then starts
+from those small frames.
 """
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +25,8 @@ class Dashboard:
         self.tables = tables
         self.p = params
         self._user_days: DataFrame | None = None
+        self._deciles: DataFrame | None = None
+        self._pairs: DataFrame | None = None
 
     # -- delivery logs ---------------------------------------------------
     def impressions(self) -> DataFrame:
@@ -41,9 +42,13 @@ class Dashboard:
         return self._user_days
 
     def materialize(self) -> "Dashboard":
-        """Checkpoint the user-day rollup to the shared checkpoint folder."""
+        """Checkpoint the user-day rollup, the decile sums of every model and
+        the overlap pairs to the shared checkpoint folder (reliable
+        checkpoints, never executor-local ones)."""
         ensure_checkpoint_dir(self.tables.impressions.sparkSession)
         self._user_days = self.user_days.checkpoint(eager=True)
+        self._deciles = self.ctr_by_decile().checkpoint(eager=True)
+        self._pairs = self.pairs.checkpoint(eager=True)
         return self
 
     # -- scores and lift ---------------------------------------------------
@@ -52,6 +57,9 @@ class Dashboard:
 
     def ctr_by_decile(self, models=None) -> DataFrame:
         models = list(models if models is not None else self.p.models)
+        if self._deciles is not None and set(models) <= set(self.p.models):
+            # each model's rows are independent of the other models scored with it
+            return self._deciles.filter(F.col("model").isin(models))
         return lift.ctr_by_decile(self.user_days, self.scores_dedup(models), models)
 
     def ctr_by_band(self, models=None) -> DataFrame:
@@ -77,12 +85,15 @@ class Dashboard:
     def user_best_scores(self) -> DataFrame:
         return overlap.best_scores(self.tables.scores, self.p)
 
-    @cached_property
-    def _pairs(self) -> DataFrame:
-        return overlap.best_score_pairs(self.tables.scores, self.p, self.p.model1, self.p.model2)
+    @property
+    def pairs(self) -> DataFrame:
+        """Best decile and score of model 1 and model 2 per user scored by both."""
+        if self._pairs is None:
+            self._pairs = overlap.best_score_pairs(self.tables.scores, self.p, self.p.model1, self.p.model2)
+        return self._pairs
 
     def overlap_by_decile(self) -> DataFrame:
-        return overlap.overlap_by_decile(self._pairs)
+        return overlap.overlap_by_decile(self.pairs)
 
     def overlap_by_band(self) -> DataFrame:
         return overlap.overlap_by_band(self.overlap_by_decile())
@@ -97,7 +108,7 @@ class Dashboard:
         return overlap.overlap_decile_wide(self.overlap_decile_matrix())
 
     def score_correlation(self) -> DataFrame:
-        return overlap.score_correlation(self._pairs)
+        return overlap.score_correlation(self.pairs)
 
     # -- dimensions ----------------------------------------------------------
     def order_names(self) -> DataFrame:

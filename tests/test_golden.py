@@ -64,3 +64,15 @@ def test_salary_csv(spark):
     assert df.count() == 30
     assert dict(df.dtypes) == {"YearsExperience": "double", "Salary": "double"}
     assert df.agg(F.sum("Salary")).collect()[0][0] == pytest.approx(2280090.0)
+
+
+def test_materialized_dashboard_equals_lazy_plans(spark):
+    lazy = dashboard(spark, SF0001, FIXTURE_PARAMS)
+    mat = dashboard(spark, SF0001, FIXTURE_PARAMS).materialize()
+    for report in ("ctr_by_decile_report", "ctr_by_band_report", "ctr_by_decile_dense", "z_test_high_band",
+                   "overlap_decile_matrix", "score_correlation"):
+        a = sorted(map(str, getattr(lazy, report)().collect()))
+        b = sorted(map(str, getattr(mat, report)().collect()))
+        assert a == b, report
+    assert sorted(map(str, lazy.ctr_by_decile([FIXTURE_PARAMS.model2]).collect())) == sorted(
+        map(str, mat.ctr_by_decile([FIXTURE_PARAMS.model2]).collect()))
