@@ -121,6 +121,34 @@ class Dashboard:
         return names.scores_preview(self.tables.scores, n)
 
 
+    # -- sink ------------------------------------------------------------------
+    REPORTS = (
+        "order_names",
+        "segment_names",
+        "ctr_by_decile_report",
+        "ctr_by_band_report",
+        "ctr_by_decile_dense",
+        "ctr_by_band_dense",
+        "z_test_high_band",
+        "overlap_by_decile",
+        "overlap_by_band",
+        "overlap_decile_matrix",
+        "overlap_band_matrix",
+        "score_correlation",
+    )
+
+    def save(self, path: str, reports=REPORTS, mode: str = "overwrite") -> dict[str, str]:
+        """Write each report as a Parquet table under ``path`` (one folder per
+        report); returns the folder of each. Reports are small, so each is
+        written as a single file."""
+        out = {}
+        for name in reports:
+            target = f"{path.rstrip('/')}/{name}"
+            getattr(self, name)().coalesce(1).write.mode(mode).parquet(target)
+            out[name] = target
+        return out
+
+
 def single_model(frame: DataFrame, model: str) -> DataFrame:
     """The per-model view of a multi-model frame, without the ``model`` column."""
     return frame.filter(F.col("model") == model).drop("model")

@@ -76,3 +76,11 @@ def test_materialized_dashboard_equals_lazy_plans(spark):
         assert a == b, report
     assert sorted(map(str, lazy.ctr_by_decile([FIXTURE_PARAMS.model2]).collect())) == sorted(
         map(str, mat.ctr_by_decile([FIXTURE_PARAMS.model2]).collect()))
+
+
+def test_save_writes_every_report(spark, tmp_path):
+    d = dashboard(spark, SF0001, FIXTURE_PARAMS).materialize()
+    out = d.save(str(tmp_path / "reports"))
+    assert set(out) == set(d.REPORTS)
+    back = spark.read.parquet(out["ctr_by_decile_dense"])
+    assert back.count() == 20 and "ctr_label" in back.columns
