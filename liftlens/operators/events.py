@@ -61,7 +61,9 @@ def clicks_filtered(clicks: DataFrame, p: Params, *, key: str = USER_ID_KEY) ->
     return filter_log(clicks, p, key=key).select(*SERVE_KEYS, "logdate", "xid", F.lit(1).alias("clicks"))
 
 
-def _match_condition(imps: DataFrame, clicks: DataFrame) -> Column:
+def match_condition() -> Column:
+    """Equality of every serve key and the user id between an impression row
+    and a click-count row (``c_``-prefixed); NULL never matches."""
     pairs = [(F.col(k), F.col(_CLICK_PREFIX + k)) for k in SERVE_KEYS]
     pairs.append((F.col("xid_imp"), F.col(_CLICK_PREFIX + "xid")))
     return reduce(lambda acc, c: acc & c, (a == b for a, b in pairs))
@@ -88,7 +90,7 @@ def rollup_user_day(imps_f: DataFrame, clicks_f: DataFrame) -> DataFrame:
     """
     imps = impression_counts(imps_f)
     clks = click_counts(clicks_f)
-    joined = imps.join(clks, _match_condition(imps, clks), "left")
+    joined = imps.join(clks, match_condition(), "left")
     return joined.groupBy("xid_imp", "date").agg(
         F.sum(F.col("n_imps") * F.coalesce(F.col("n_clicks"), F.lit(1))).alias("impressions"),
         F.sum(F.col("n_imps") * F.coalesce(F.col("n_clicks"), F.lit(0))).alias("clicks"),

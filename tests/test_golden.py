@@ -84,3 +84,13 @@ def test_save_writes_every_report(spark, tmp_path):
     assert set(out) == set(d.REPORTS)
     back = spark.read.parquet(out["ctr_by_decile_dense"])
     assert back.count() == 20 and "ctr_label" in back.columns
+
+
+def test_overlap_sf001(spark):
+    d = dashboard(spark, SF001, FIXTURE_PARAMS)
+    r = d.score_correlation().collect()[0]
+    assert r.n_users == 754
+    assert r.correlation == pytest.approx(0.042459630, abs=1e-9)
+    cells = d.overlap_by_decile()
+    assert cells.count() == 114
+    assert cells.filter("tid1Decile is null or tid2Decile is null").count() == 16
