@@ -50,3 +50,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="liftlens-ckpt-"))
         return sc.getCheckpointDir()
     raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
+
+
+def scale_settings(shuffle_bytes: int, cores: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Spark settings for a run that shuffles about ``shuffle_bytes`` (the
+    projected impression log is the largest shuffle) on ``cores`` executor cores.
+
+    The initial shuffle partition count keeps each partition near
+    ``target_partition_bytes`` so sorts and hash aggregates fit in task memory
+    without spilling much, and is at least a few waves of the cluster's cores;
+    AQE then coalesces small partitions and splits skewed ones. Apply with
+    ``for k, v in scale_settings(...).items(): spark.conf.set(k, v)``.
+    """
+    partitions = max(cores * 3, -(-shuffle_bytes // target_partition_bytes))
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes // 2),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes // 2),
+    }

@@ -35,3 +35,12 @@ def test_bad_window_rejected():
 def test_bad_date_text_rejected():
     with pytest.raises(ValueError):
         Params.from_text("2020-13-01", "2020-01-31", "1", "a", "b")
+
+
+def test_scale_settings_size_partitions_by_volume():
+    from liftlens.session import scale_settings
+
+    big = scale_settings(100 * 1024**4, cores=8000)  # 100 TB over 1000 executors x 8 cores
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    small = scale_settings(10 * 1024**2, cores=8)
+    assert int(small["spark.sql.shuffle.partitions"]) == 24
