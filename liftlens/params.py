@@ -57,8 +57,8 @@ class Params:
         object.__setattr__(self, "models", tuple(str(m) for m in self.models))
         if not self.order_ids:
             raise ValueError("at least one order id is required")
-        if not self.models:
-            raise ValueError("at least one model id is required")
+        if not self.models or any(not m.strip() for m in self.models):
+            raise ValueError(f"model ids must be non-empty, got {self.models!r}")
         if self.start_date > self.end_date:
             raise ValueError(f"start date {self.start_date} is after end date {self.end_date}")
         if not 0.0 < self.alpha < 1.0:
