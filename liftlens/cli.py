@@ -3,7 +3,7 @@
     spark-submit --py-files liftlens.zip liftlens/cli.py --start 2022-09-01 --end 2022-09-30 \\
         --orders 123,456 --model1 modelA --model2 modelB --out /shared/reports/run1 \\
         --impressions logs.impressions --clicks logs.clicks --scores models.scores \\
-        --line-items dim.line_items --segments dim.segments
+        --line-item-table dim.line_items --segments dim.segments
 
 The six dashboard inputs become arguments; every report is written as a
 Parquet table under ``--out`` (a shared folder). The user-day rollup, decile
