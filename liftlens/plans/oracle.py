@@ -31,7 +31,7 @@ from liftlens.constants import (
     VERDICT_REJECTED,
 )
 from liftlens.params import Params
-from liftlens.plans.queries import DEFAULT_PARAMS, LINE_ITEM_IDS, STAT_DIGITS
+from liftlens.plans.queries import ALL_MODELS, DEFAULT_PARAMS, LINE_ITEM_IDS, STAT_DIGITS
 from liftlens.sources.standins import duckdb_prelude
 
 
@@ -151,6 +151,7 @@ join (select {col}, cast(sum(n) as bigint) as total from (
 def oracle_sql(p: Params = DEFAULT_PARAMS) -> dict[str, str]:
     pre = _prelude(p)
     pre_li = _prelude(p.with_line_items(LINE_ITEM_IDS))
+    pre_all = _prelude(Params(p.start_date, p.end_date, p.order_ids, ALL_MODELS, p.line_item_ids, p.alpha))
     m1, m2 = p.model1, p.model2
     window = f"date between date '{p.start_date}' and date '{p.end_date}'"
     deciles = "range(1, 11) r(v)"
@@ -192,6 +193,8 @@ select * from scores order by xid nulls first, date nulls first, tid nulls first
         "ctr_by_decile": f"{pre}\nselect {ctr_cols} from dec1",
         "ctr_by_decile_model2": f"{pre}\nselect {ctr_cols} from dec2",
         "ctr_by_decile_models": f"{pre}\nselect model, {ctr_cols} from dec_all",
+        "ctr_by_decile_all_models": f"{pre_all}\nselect model, {ctr_cols} from dec_all",
+        "ctr_by_band_all_models": f"{pre_all}\nselect model, {band_cols} from band_all",
         "ctr_by_decile_dense": f"""{pre}
 select m.model, cast(r.v as int) as decile, cast(coalesce(x.impressions, 0) as bigint) as impressions,
        cast(coalesce(x.clicks, 0) as bigint) as clicks, {_ctr('x.clicks', 'x.impressions')} as ctr,

@@ -26,6 +26,9 @@ DEFAULT_PARAMS = Params(
 # The optional line-item filter is exercised by its own variant queries.
 LINE_ITEM_IDS = (0, 1, 2, 3, 4)
 
+# Every model id the stand-in scores carry, for the all-models variants.
+ALL_MODELS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
 # A narrower campaign (60 order ids, four years) whose results are pinned as
 # golden numbers in the tests.
 FIXTURE_PARAMS = Params(
@@ -52,6 +55,11 @@ def _line_items() -> Params:
     return DEFAULT_PARAMS.with_line_items(LINE_ITEM_IDS)
 
 
+def _all_models() -> Params:
+    p = DEFAULT_PARAMS
+    return Params(p.start_date, p.end_date, p.order_ids, ALL_MODELS, p.line_item_ids, p.alpha)
+
+
 def _z_test(d: Dashboard) -> DataFrame:
     return d.z_test_high_band().withColumn("z", F.round("z", STAT_DIGITS)).withColumn(
         "p_value", F.round("p_value", STAT_DIGITS)
@@ -83,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ctr_by_decile": lambda s, d: _m1(_d(s, d).ctr_by_decile([DEFAULT_PARAMS.model1])),
     "ctr_by_decile_model2": lambda s, d: _m2(_d(s, d).ctr_by_decile([DEFAULT_PARAMS.model2])),
     "ctr_by_decile_models": lambda s, d: _d(s, d).ctr_by_decile(),
+    "ctr_by_decile_all_models": lambda s, d: _d(s, d, _all_models()).ctr_by_decile(),
+    "ctr_by_band_all_models": lambda s, d: _d(s, d, _all_models()).ctr_by_band(),
     "ctr_by_decile_dense": lambda s, d: _d(s, d).ctr_by_decile_dense(),
     "ctr_by_decile_report": lambda s, d: _d(s, d).ctr_by_decile_report(),
     "ctr_by_band": lambda s, d: _m1(_d(s, d).ctr_by_band([DEFAULT_PARAMS.model1])),
