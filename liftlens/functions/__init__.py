@@ -1,5 +1,4 @@
-"""Column functions shared by the operators (all JVM-side except the normal
-tail probability, which is an Arrow-batched pandas UDF)."""
+"""Column functions shared by the operators, all JVM-side built-ins."""
 
 from liftlens.functions.columns import (
     band,
@@ -10,6 +9,7 @@ from liftlens.functions.columns import (
     user_id,
 )
 from liftlens.functions.stats import (
+    erfc,
     pearson,
     two_sided_p_value,
     two_proportion_z,
@@ -23,6 +23,7 @@ __all__ = [
     "ctr_percent_safe",
     "percent_label",
     "user_id",
+    "erfc",
     "pearson",
     "two_sided_p_value",
     "two_proportion_z",

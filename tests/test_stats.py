@@ -71,3 +71,13 @@ def test_pearson_edges(spark):
     assert const.agg(pearson("x", "y").alias("r")).collect()[0].r is None
     assert df.limit(1).agg(pearson("x", "y").alias("r")).collect()[0].r is None
     assert df.filter(F.lit(False)).agg(pearson("x", "y").alias("r")).collect()[0].r is None
+
+
+def test_erfc_matches_reference_implementation(spark):
+    from liftlens.functions.stats import erfc
+
+    xs = [i / 40 for i in range(0, 241)] + [2.4999, 2.5, 2.5001, 8.0, 10.0, 26.0, 30.0]
+    rows = spark.createDataFrame([(x,) for x in xs], "x double").select("x", erfc("x").alias("e")).collect()
+    for r in rows:
+        ref = math.erfc(r.x)
+        assert r.e == pytest.approx(ref, rel=1e-12, abs=1e-300), r.x
