@@ -63,7 +63,14 @@ def segment_names(segment_trait: DataFrame, models) -> DataFrame:
     )
 
 
-def scores_preview(scores: DataFrame, n: int = 100) -> DataFrame:
-    """First ``n`` score rows by every column (a deterministic preview; the
-    limit is the feature). Planned as a per-partition top-n plus a merge."""
+def scores_preview(scores: DataFrame, n: int = 100, ordered: bool = True) -> DataFrame:
+    """``n`` score rows for a look at the table; the limit is the feature.
+
+    ``ordered=True`` gives the first rows by every column: deterministic,
+    planned as a per-task top-n plus a merge, but it reads the whole table.
+    ``ordered=False`` takes any ``n`` rows, as a notebook display does: the
+    scan stops after the first splits, so it stays cheap on a huge table.
+    """
+    if not ordered:
+        return scores.limit(n)
     return scores.orderBy(*[F.col(c).asc_nulls_first() for c in scores.columns]).limit(n)

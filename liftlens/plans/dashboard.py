@@ -117,8 +117,8 @@ class Dashboard:
     def segment_names(self) -> DataFrame:
         return names.segment_names(self.tables.segment_trait, [self.p.model1, self.p.model2])
 
-    def scores_preview(self, n: int = 100) -> DataFrame:
-        return names.scores_preview(self.tables.scores, n)
+    def scores_preview(self, n: int = 100, ordered: bool = True) -> DataFrame:
+        return names.scores_preview(self.tables.scores, n, ordered)
 
 
     # -- sink ------------------------------------------------------------------

@@ -33,3 +33,8 @@ def test_scores_preview_is_ordered_and_limited(spark):
     sc = spark.createDataFrame([(f"x{i % 7}", i) for i in range(50)], "xid string, n int")
     got = [tuple(r) for r in names.scores_preview(sc, 5).collect()]
     assert got == sorted((f"x{i % 7}", i) for i in range(50))[:5]
+
+
+def test_unordered_preview_takes_n_rows(spark):
+    sc = spark.createDataFrame([(f"x{i}", i) for i in range(50)], "xid string, n int")
+    assert names.scores_preview(sc, 7, ordered=False).count() == 7
