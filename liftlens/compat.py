@@ -17,7 +17,7 @@ from liftlens.params import Params, parse_id_list
 from liftlens.plans.dashboard import single_model
 
 
-def _params(order_ids, start_date, end_date, models=("",), line_item_ids=()) -> Params:
+def _params(order_ids, start_date, end_date, models=(), line_item_ids=()) -> Params:
     if isinstance(order_ids, str):
         order_ids = parse_id_list(order_ids, required=True)
     if isinstance(line_item_ids, str):

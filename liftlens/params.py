@@ -39,7 +39,8 @@ class Params:
     """Typed parameters of one analysis.
 
     ``models`` holds the model ids (``tid``) to score; the first two are
-    "model 1" and "model 2" of the pairwise reports (z-test, overlap).
+    "model 1" and "model 2" of the pairwise reports (z-test, overlap). It may
+    be empty for log-only work (the user-day rollup).
     """
 
     start_date: _dt.date
@@ -57,7 +58,7 @@ class Params:
         object.__setattr__(self, "models", tuple(str(m) for m in self.models))
         if not self.order_ids:
             raise ValueError("at least one order id is required")
-        if not self.models or any(not m.strip() for m in self.models):
+        if any(not m.strip() for m in self.models):
             raise ValueError(f"model ids must be non-empty, got {self.models!r}")
         if self.start_date > self.end_date:
             raise ValueError(f"start date {self.start_date} is after end date {self.end_date}")
@@ -66,6 +67,8 @@ class Params:
 
     @property
     def model1(self) -> str:
+        if not self.models:
+            raise ValueError("no model ids given")
         return self.models[0]
 
     @property
