@@ -29,21 +29,35 @@ from liftlens.params import Params
 _CLICK_PREFIX = "c_"
 
 
-def filter_log(log: DataFrame, p: Params, *, key: str = USER_ID_KEY) -> DataFrame:
+# Id lists up to this length are inlined as ``IN`` literals (pushed into the
+# Parquet scan); longer ones become a left-semi join with a broadcast frame of
+# the ids, whose size is bounded by the list the caller passed.
+INLINE_ID_LIMIT = 1000
+
+
+def _keep_ids(log: DataFrame, column: str, ids, limit: int) -> DataFrame:
+    ids = list(dict.fromkeys(ids))
+    if len(ids) <= limit:
+        return log.filter(F.col(column).isin(ids))
+    wanted = log.sparkSession.createDataFrame([(i,) for i in ids], f"{column} bigint")
+    return log.join(F.broadcast(wanted), column, "left_semi").select(*log.columns)
+
+
+def filter_log(log: DataFrame, p: Params, *, key: str = USER_ID_KEY, inline_limit: int = INLINE_ID_LIMIT) -> DataFrame:
     """Rows of one delivery log inside the campaign window.
 
     Keeps rows whose order id is requested, whose ``logdate`` lies in the
     inclusive date window, whose line item is requested (only when line item
-    ids are given) and that carry a user id; adds that id as ``xid``. All
+    ids are given) and that carry a user id; adds that id as ``xid``. The
     predicates are column comparisons with literals, so they reach the Parquet
-    scan (and partition pruning on ``logdate``).
+    scan (and partition pruning on ``logdate``); very long id lists are applied
+    as a broadcast semi join instead.
     """
-    cond = F.col("OrderId").isin(list(p.order_ids)) & F.col("logdate").between(
-        F.lit(p.start_date), F.lit(p.end_date)
-    )
+    log = log.filter(F.col("logdate").between(F.lit(p.start_date), F.lit(p.end_date)))
+    log = _keep_ids(log, "OrderId", p.order_ids, inline_limit)
     if p.line_item_ids:
-        cond = cond & F.col("LineItemId").isin(list(p.line_item_ids))
-    return log.filter(cond).withColumn("xid", user_id("CustomTargeting", key)).filter(F.col("xid").isNotNull())
+        log = _keep_ids(log, "LineItemId", p.line_item_ids, inline_limit)
+    return log.withColumn("xid", user_id("CustomTargeting", key)).filter(F.col("xid").isNotNull())
 
 
 def impressions_filtered(impressions: DataFrame, p: Params, *, key: str = USER_ID_KEY) -> DataFrame:

@@ -120,3 +120,14 @@ def test_filters_reach_the_scan(spark, tmp_path):
     plan = events.impressions_filtered(imps, P)._jdf.queryExecution().executedPlan().toString()
     assert "In(OrderId" in plan or "InSet(OrderId" in plan
     assert "PartitionFilters: [isnotnull(logdate" in plan
+
+
+def test_long_id_lists_use_a_semi_join(spark):
+    rng = random.Random(5)
+    imps = [_row(rng) for _ in range(60)]
+    df = spark.createDataFrame(imps, DELIVERY_LOG)
+    inline = events.filter_log(df, P)
+    semi = events.filter_log(df, P, inline_limit=1)
+    assert sorted(map(str, inline.collect())) == sorted(map(str, semi.collect()))
+    plan = semi._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "Broadcast" in plan
