@@ -147,16 +147,13 @@ def write_standins(spark: SparkSession, sf_dir: str, root: str, files_per_table:
     ``root`` is reused when it already holds a complete copy (a ``_SUCCESS``
     marker per table); name it after the stand-in definitions and the input.
     """
-    import os
-
     frames = standin_frames(spark, sf_dir)
     n = files_per_table or spark.sparkContext.defaultParallelism
     out = {}
     for name, col in _CLUSTER_COLUMN.items():
         path = f"{root.rstrip('/')}/{name}"
         df = frames[name].drop("flag") if name in ("imps", "clks") else frames[name]
-        local = path.removeprefix("file:")
-        if not os.path.exists(f"{local}/_SUCCESS"):
+        if not _exists(spark, f"{path}/_SUCCESS"):
             df.repartitionByRange(n, col).sortWithinPartitions(col).write.mode("overwrite").parquet(path)
         out[name] = spark.read.schema(df.schema).parquet(path)
     return Tables(
@@ -168,6 +165,13 @@ def write_standins(spark: SparkSession, sf_dir: str, root: str, files_per_table:
     )
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its file system (local, HDFS, object store)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
+
+
 def standin_fingerprint(sf_dir: str) -> str:
     """Short digest of the stand-in definitions and the input files, for
     naming a written copy."""
