@@ -57,3 +57,12 @@ def percent_label(fraction) -> Column:
     """Fraction as a whole percent, e.g. ``0.125 -> '12%'`` (half even);
     NULL stays NULL."""
     return F.concat(F.format_number(_col(fraction) * F.lit(100), 0), F.lit("%"))
+
+
+def in_window(column, p) -> Column:
+    """``column`` (a date, a timestamp or ISO date text) falls in the inclusive
+    date window of ``p``. The column is compared as a date, so a timestamp keeps
+    its whole last day and unpadded text compares by value. On a date column the
+    cast is a no-op that the optimizer drops, so the predicate still reaches
+    the scan and prunes partitions."""
+    return _col(column).cast("date").between(F.lit(p.start_date), F.lit(p.end_date))

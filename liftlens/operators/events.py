@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from liftlens.constants import SERVE_KEYS, USER_ID_KEY
-from liftlens.functions.columns import user_id
+from liftlens.functions.columns import in_window, user_id
 from liftlens.params import Params
 
 _CLICK_PREFIX = "c_"
@@ -53,7 +53,7 @@ def filter_log(log: DataFrame, p: Params, *, key: str = USER_ID_KEY, inline_limi
     scan (and partition pruning on ``logdate``); very long id lists are applied
     as a broadcast semi join instead.
     """
-    log = log.filter(F.col("logdate").between(F.lit(p.start_date), F.lit(p.end_date)))
+    log = log.filter(in_window("logdate", p))
     log = _keep_ids(log, "OrderId", p.order_ids, inline_limit)
     if p.line_item_ids:
         log = _keep_ids(log, "LineItemId", p.line_item_ids, inline_limit)

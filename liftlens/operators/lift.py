@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from liftlens.constants import BANDS, CTR_PERCENT_COLUMN, DECILES
 from liftlens.functions.columns import band, count_label, ctr_percent, ctr_percent_safe
+from liftlens.functions.columns import in_window
 from liftlens.params import Params
 
 
@@ -26,7 +27,7 @@ def prepare_scores(scores: DataFrame, p: Params, models=None) -> DataFrame:
     """
     models = list(models if models is not None else p.models)
     return scores.filter(
-        F.col("date").between(F.lit(p.start_date), F.lit(p.end_date)) & F.col("tid").isin(models)
+        in_window("date", p) & F.col("tid").isin(models)
     ).dropDuplicates()
 
 

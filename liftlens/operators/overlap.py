@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from liftlens.constants import BANDS, DECILES
 from liftlens.functions.columns import band, count_label, percent_label
 from liftlens.functions.stats import pearson
+from liftlens.functions.columns import in_window
 from liftlens.params import Params
 
 
 def _window(scores: DataFrame, p: Params, models) -> DataFrame:
     return scores.filter(
-        F.col("date").between(F.lit(p.start_date), F.lit(p.end_date)) & F.col("tid").isin(list(models))
+        in_window("date", p) & F.col("tid").isin(list(models))
     )
 
 

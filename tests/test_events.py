@@ -131,3 +131,17 @@ def test_long_id_lists_use_a_semi_join(spark):
     assert sorted(map(str, inline.collect())) == sorted(map(str, semi.collect()))
     plan = semi._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan and "Broadcast" in plan
+
+
+def test_window_compares_dates_for_timestamp_and_text_columns(spark):
+    from pyspark.sql import functions as F
+
+    from liftlens.functions.columns import in_window
+
+    df = spark.createDataFrame(
+        [(dt.datetime(2020, 1, 3, 23, 59), "2020-1-3"), (dt.datetime(2020, 1, 4, 0, 0), "2020-01-04")],
+        "ts timestamp_ntz, txt string",
+    )
+    assert df.filter(in_window("ts", P)).count() == 1  # the whole last day is inside
+    assert df.filter(in_window("txt", P)).count() == 1  # unpadded text compares as a date
+    assert df.filter(F.col("txt").between("2020-01-01", "2020-01-03")).count() == 0  # the text trap
