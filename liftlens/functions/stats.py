@@ -4,7 +4,7 @@ The pooled two-proportion z statistic and the Pearson correlation are plain
 Spark arithmetic on aggregates. Spark has no ``erf``; the complementary error
 function is built from Spark's own ``aggregate`` over a ``sequence``: a power
 series below 2.5 and a continued fraction for the tail (relative error below
-1e-12 against a reference implementation). Everything stays in the JVM; no
+1e-12 against Python's ``math.erfc``). Everything stays in the JVM; no
 Python worker is started.
 """
 

@@ -73,7 +73,7 @@ def test_pearson_edges(spark):
     assert df.filter(F.lit(False)).agg(pearson("x", "y").alias("r")).collect()[0].r is None
 
 
-def test_erfc_matches_reference_implementation(spark):
+def test_erfc_matches_math_erfc(spark):
     from liftlens.functions.stats import erfc
 
     xs = [i / 40 for i in range(0, 241)] + [2.4999, 2.5, 2.5001, 8.0, 10.0, 26.0, 30.0]
