@@ -127,22 +127,24 @@ def duckdb_prelude() -> str:
     return "with " + ",\n".join(ctes)
 
 
-# Date column each stand-in is clustered on when written out.
-_CLUSTER_COLUMN = {
-    "imps": "logdate",
-    "clks": "logdate",
-    "scores": "date",
-    "line_items": "orderId",
-    "segment_trait": "trait_id",
+# Columns each stand-in is clustered on when written out (production layout:
+# logs by log date, scores by model and date).
+_CLUSTER_COLUMNS = {
+    "imps": ("logdate",),
+    "clks": ("logdate",),
+    "scores": ("tid", "date"),
+    "line_items": ("orderId",),
+    "segment_trait": ("trait_id",),
 }
 
 
 def write_standins(spark: SparkSession, sf_dir: str, root: str, files_per_table: int | None = None) -> Tables:
     """Write the stand-ins once as Parquet tables under ``root`` (a shared
     folder) and return them read back, laid out like production tables: each
-    file holds a contiguous range of the clustering column (the log date for
-    the logs, the score date for the scores), so date predicates skip files and
-    row groups by their statistics, and scans run one task per file.
+    file holds a contiguous range of the clustering columns (the log date for
+    the logs, model and date for the scores), so window and model predicates
+    skip files and row groups by their statistics, and scans run one task per
+    file.
 
     ``root`` is reused when it already holds a complete copy (a ``_SUCCESS``
     marker per table); name it after the stand-in definitions and the input.
@@ -150,11 +152,11 @@ def write_standins(spark: SparkSession, sf_dir: str, root: str, files_per_table:
     frames = standin_frames(spark, sf_dir)
     n = files_per_table or spark.sparkContext.defaultParallelism
     out = {}
-    for name, col in _CLUSTER_COLUMN.items():
+    for name, cols in _CLUSTER_COLUMNS.items():
         path = f"{root.rstrip('/')}/{name}"
         df = frames[name].drop("flag") if name in ("imps", "clks") else frames[name]
         if not _exists(spark, f"{path}/_SUCCESS"):
-            df.repartitionByRange(n, col).sortWithinPartitions(col).write.mode("overwrite").parquet(path)
+            df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).write.mode("overwrite").parquet(path)
         out[name] = spark.read.schema(df.schema).parquet(path)
     return Tables(
         impressions=out["imps"],
@@ -181,6 +183,7 @@ def standin_fingerprint(sf_dir: str) -> str:
     h = hashlib.sha256()
     for name, body in STANDIN_SQL.items():
         h.update(name.encode() + body.encode())
+    h.update(repr(sorted(_CLUSTER_COLUMNS.items())).encode())
     for name in BASE_TABLES:
         st = os.stat(f"{sf_dir.rstrip('/')}/{name}.parquet")
         h.update(f"{name}:{st.st_size}:{int(st.st_mtime)}".encode())
