@@ -5,6 +5,7 @@ from liftlens.functions.columns import (
     count_label,
     ctr_percent,
     ctr_percent_safe,
+    in_window,
     percent_label,
     user_id,
 )
@@ -21,6 +22,7 @@ __all__ = [
     "count_label",
     "ctr_percent",
     "ctr_percent_safe",
+    "in_window",
     "percent_label",
     "user_id",
     "erfc",
