@@ -96,3 +96,22 @@ def test_overlap_sf001(spark):
     cells = d.overlap_by_decile()
     assert cells.count() == 114
     assert cells.filter("tid1Decile is null or tid2Decile is null").count() == 16
+
+
+def test_empty_window_gives_empty_or_zero_filled_reports(spark):
+    import datetime as dt
+
+    from liftlens.params import Params
+
+    p = Params(dt.date(1980, 1, 1), dt.date(1980, 1, 31), (1, 2), FIXTURE_PARAMS.models)
+    d = dashboard(spark, SF0001, p)
+    assert d.user_days.count() == 0
+    assert d.ctr_by_decile().count() == 0
+    dense = d.ctr_by_decile_dense().collect()
+    assert len(dense) == 20 and all(r.impressions == 0 and r.ctr is None for r in dense)
+    z = d.z_test_high_band().collect()[0]
+    assert z.z is None and z.p_value is None and z.significant is False
+    m = d.overlap_decile_matrix().collect()
+    assert len(m) == 100 and all(r.n == 0 and r.pct is None for r in m)
+    c = d.score_correlation().collect()[0]
+    assert c.n_users == 0 and c.correlation is None
