@@ -113,3 +113,20 @@ def test_report_labels(spark):
                              lift.prepare_scores(spark.createDataFrame([], SC_SCHEMA), P), ["a"])
     r = lift.ctr_by_decile_report(dec).collect()[0]
     assert r.impressions == "1,234,567" and r["ctr %"] == 0.0
+
+
+def test_hot_user_day_with_many_distinct_scores(spark):
+    """One (user, day) holds most score rows, all distinct: counted per decile
+    before the join, the result equals one joined row per score row."""
+    uds = [("hot", D1, 3, 1), ("u1", D1, 5, 2)]
+    scores = [("hot", D1, "a", float(i), (i % 10) + 1) for i in range(3000)]
+    scores += [("hot", D1, "a", float(i), (i % 10) + 1) for i in range(500)]  # copies
+    scores += [("u1", D1, "b", 0.5, 3)]
+    ud = spark.createDataFrame(uds, UD_SCHEMA)
+    sc = spark.createDataFrame(scores, SC_SCHEMA)
+    got = lift.ctr_by_decile(ud, lift.prepare_scores(sc, P), P.models).collect()
+    for m in P.models:
+        mine = {(r.tid, r.decile): (r.impressions, r.clicks) for r in got if r.model == m}
+        assert mine == _brute(uds, scores, m)
+    hot = {r.decile: r.impressions for r in got if r.model == "a" and r.tid == "a"}
+    assert hot == {d: 300 * 3 for d in range(1, 11)}
