@@ -47,8 +47,9 @@ class Dashboard:
         checkpoints, never executor-local ones)."""
         ensure_checkpoint_dir(self.tables.impressions.sparkSession)
         self._user_days = self.user_days.checkpoint(eager=True)
-        self._deciles = self.ctr_by_decile().checkpoint(eager=True)
-        self._pairs = self.pairs.checkpoint(eager=True)
+        if self.p.models:  # log-only parameters have nothing to score
+            self._deciles = self.ctr_by_decile().checkpoint(eager=True)
+            self._pairs = self.pairs.checkpoint(eager=True)
         return self
 
     # -- scores and lift ---------------------------------------------------

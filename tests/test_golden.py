@@ -115,3 +115,11 @@ def test_empty_window_gives_empty_or_zero_filled_reports(spark):
     assert len(m) == 100 and all(r.n == 0 and r.pct is None for r in m)
     c = d.score_correlation().collect()[0]
     assert c.n_users == 0 and c.correlation is None
+
+
+def test_materialize_log_only_parameters(spark):
+    from liftlens.params import Params
+
+    p = Params(FIXTURE_PARAMS.start_date, FIXTURE_PARAMS.end_date, FIXTURE_PARAMS.order_ids, ())
+    d = dashboard(spark, SF0001, p).materialize()
+    assert d.user_days.count() == 847
