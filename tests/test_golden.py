@@ -123,3 +123,22 @@ def test_materialize_log_only_parameters(spark):
     p = Params(FIXTURE_PARAMS.start_date, FIXTURE_PARAMS.end_date, FIXTURE_PARAMS.order_ids, ())
     d = dashboard(spark, SF0001, p).materialize()
     assert d.user_days.count() == 847
+
+
+def test_golden_numbers_sf01(spark):
+    """All sf0.1 golden numbers of the fixture campaign in one pass."""
+    sf = "/root/testdata/sf0.1"
+    d = dashboard(spark, sf, FIXTURE_PARAMS)
+    assert (d.impressions().count(), d.clicks().count()) == (199691, 66939)
+    r = d.user_days.agg(F.count("*"), F.sum("impressions"), F.sum("clicks")).collect()[0]
+    assert list(r) == [75423, 200875, 62863]
+    assert dashboard(spark, sf, FIXTURE_PARAMS.with_line_items(LINE_ITEM_IDS)).user_days.count() == 37726
+    z = d.z_test_high_band().collect()[0]
+    assert (z.clicks_1, z.impressions_1, z.clicks_2, z.impressions_2) == (3805, 11966, 3774, 12032)
+    assert round(z.z, 9) == 0.719959812 and round(z.p_value, 9) == 0.47154974
+    c = d.score_correlation().collect()[0]
+    assert c.n_users == 7486 and round(c.correlation, 9) == 0.008369346
+    cells = d.overlap_by_decile()
+    assert cells.count() == 121 and cells.filter("tid1Decile is null or tid2Decile is null").count() == 21
+    un = {r.tid: (r.clicks, r.impressions, r.ctr) for r in d.ctr_by_decile([FIXTURE_PARAMS.model1]).collect() if r.decile is None}
+    assert un == {"1-URGENT": (309, 1002, 30.84), None: (50149, 160381, 31.27)}
