@@ -12,4 +12,17 @@ is collected to the driver inside the library.
 
 from liftlens.params import Params, parse_id_list
 
-__all__ = ["Params", "parse_id_list"]
+__all__ = ["Dashboard", "Params", "TableNames", "Tables", "parse_id_list", "read_catalog"]
+
+
+def __getattr__(name):
+    # Spark-facing names load on first use, so ``import liftlens`` stays light.
+    if name == "Dashboard":
+        from liftlens.plans.dashboard import Dashboard
+
+        return Dashboard
+    if name in ("TableNames", "Tables", "read_catalog"):
+        from liftlens.sources import catalog
+
+        return getattr(catalog, name)
+    raise AttributeError(name)
