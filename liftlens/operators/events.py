@@ -7,12 +7,14 @@ therefore yields max(k, 1) joined rows, each counting one impression, and k
 clicks; a NULL key never matches; clicks without an impression are dropped.
 
 Scale design: the join is never materialised pair by pair. Clicks are first
-counted per serve key and impressions per (serve key, day); both counts are
-partial aggregates computed map-side, so a hot key (a third of all rows on one
-serve, or exact copies of one row) collapses to one row per map task before any
-shuffle. The join then meets at most one click row per key and one impression
-row per (key, day), and the user-day sums are rebuilt as
+counted per serve key (a two-phase aggregate), so the join meets at most one
+click row per key, and the user-day sums are rebuilt as
 ``n_imps * coalesce(k, 1)`` impressions and ``n_imps * coalesce(k, 0)`` clicks.
+When a size check proves the click side small, its counts are broadcast and
+impressions are never shuffled before the user-day partial sums. Otherwise
+impressions are counted per (serve key, day) map-side before their shuffle, so
+a hot key (a third of all rows on one serve, or copies of one row) collapses
+to one row per map task.
 """
 
 from __future__ import annotations
@@ -96,21 +98,55 @@ def impression_counts(imps_f: DataFrame) -> DataFrame:
     return imps_f.groupBy(*SERVE_KEYS, "xid_imp", "date").agg(F.count(F.lit(1)).alias("n_imps"))
 
 
-def rollup_user_day(imps_f: DataFrame, clicks_f: DataFrame) -> DataFrame:
+# Click rows up to which the click counts are broadcast to the impressions
+# (about 120 bytes a row, so at most ~120 MB); beyond it the shuffle plan runs.
+BROADCAST_CLICK_ROWS = 1_000_000
+
+
+def clicks_fit_broadcast(clicks_f: DataFrame, limit: int = BROADCAST_CLICK_ROWS) -> bool:
+    """Whether the filtered click log has at most ``limit`` rows. The scan stops
+    as soon as ``limit + 1`` rows are seen, so the check stays cheap on any
+    size; the click counts have at most as many rows as the clicks."""
+    return limit > 0 and clicks_f.limit(limit + 1).count() <= limit
+
+
+def rollup_user_day(imps_f: DataFrame, clicks_f: DataFrame, broadcast_limit: int = BROADCAST_CLICK_ROWS) -> DataFrame:
     """Impressions and clicks per user-day: ``xid_imp, date, impressions, clicks``.
 
     Equal to summing the left outer join of impressions with clicks on all
     serve keys and the user id (see module doc), without emitting its pairs.
+
+    Two plans, chosen by a size check of the click side:
+
+    * at most ``broadcast_limit`` click rows: the click counts are broadcast
+      and joined to the impressions where they are read; impressions then move
+      once, as partial sums per user-day (hot copies collapse there);
+    * otherwise: impressions are counted per (serve key, day) map-side, shuffled
+      to the click counts and joined there.
     """
-    imps = impression_counts(imps_f)
     clks = click_counts(clicks_f)
-    joined = imps.join(clks, match_condition(), "left")
+    if clicks_fit_broadcast(clicks_f, broadcast_limit):
+        joined = imps_f.join(F.broadcast(clks), match_condition(), "left")
+        n_imps = F.lit(1)
+    else:
+        imps = impression_counts(imps_f)
+        joined = imps.join(clks, match_condition(), "left")
+        n_imps = F.col("n_imps")
     return joined.groupBy("xid_imp", "date").agg(
-        F.sum(F.col("n_imps") * F.coalesce(F.col("n_clicks"), F.lit(1))).alias("impressions"),
-        F.sum(F.col("n_imps") * F.coalesce(F.col("n_clicks"), F.lit(0))).alias("clicks"),
+        F.sum(n_imps * F.coalesce(F.col("n_clicks"), F.lit(1))).alias("impressions"),
+        F.sum(n_imps * F.coalesce(F.col("n_clicks"), F.lit(0))).alias("clicks"),
     )
 
 
-def user_days(impressions: DataFrame, clicks: DataFrame, p: Params, *, key: str = USER_ID_KEY) -> DataFrame:
+def user_days(
+    impressions: DataFrame,
+    clicks: DataFrame,
+    p: Params,
+    *,
+    key: str = USER_ID_KEY,
+    broadcast_limit: int = BROADCAST_CLICK_ROWS,
+) -> DataFrame:
     """Filter both logs with ``p`` and roll them up per user-day."""
-    return rollup_user_day(impressions_filtered(impressions, p, key=key), clicks_filtered(clicks, p, key=key))
+    return rollup_user_day(
+        impressions_filtered(impressions, p, key=key), clicks_filtered(clicks, p, key=key), broadcast_limit
+    )

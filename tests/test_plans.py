@@ -46,12 +46,32 @@ def test_score_join_keeps_user_day_partitioning(no_broadcast):
     assert "SortMergeJoin [xid_imp" in plan
 
 
-def test_click_counts_feed_the_match_join_without_reshuffle(spark):
-    """The click count's own shuffle is on the serve keys, so the match join
-    reads it as is (no second exchange on the renamed ``c_`` keys)."""
-    plan = _plan(E.queries()["clicks_impressions_by_user_day"](spark, SF0001))
+def test_small_click_side_is_broadcast_and_impressions_shuffle_once(no_broadcast):
+    """Size-checked broadcast of the click counts: the only hash exchange of
+    the impressions is the user-day partial sums (explicit hint, so it holds
+    with automatic broadcasts off)."""
+    from liftlens.operators import events
+    from liftlens.plans.queries import DEFAULT_PARAMS
+    from liftlens.sources.standins import standin_tables
+
+    t = standin_tables(no_broadcast, SF0001)
+    plan = _plan(events.user_days(t.impressions, t.clicks, DEFAULT_PARAMS))
+    assert "BroadcastHashJoin" in plan and "LeftOuter" in plan
+    assert len(re.findall(r"Exchange hashpartitioning\(Time#", plan)) == 0
+    assert len(re.findall(r"Exchange hashpartitioning\(xid_imp#\d+, date#\d+", plan)) == 1
+
+
+def test_large_click_side_shuffle_plan(spark):
+    """Beyond the size bound: impressions are counted per (serve key, day)
+    map-side, and the click counts' own shuffle feeds the match join (no
+    second exchange on the renamed ``c_`` keys)."""
+    from liftlens.operators import events
+    from liftlens.plans.queries import DEFAULT_PARAMS
+    from liftlens.sources.standins import standin_tables
+
+    t = standin_tables(spark, SF0001)
+    plan = _plan(events.user_days(t.impressions, t.clicks, DEFAULT_PARAMS, broadcast_limit=0))
     assert len(re.findall(r"Exchange hashpartitioning\(c_Time", plan)) == 0
-    # clicks are counted per serve key before the join: no pair fan-out
     assert "partial_count" in plan
 
 

@@ -38,12 +38,13 @@ SETTINGS = settings(max_examples=12, deadline=None, suppress_health_check=list(H
 
 @SETTINGS
 @given(imps=st.lists(log_row, min_size=1, max_size=25), clicks=st.lists(log_row, max_size=15),
-       copies=st.integers(0, 3))
-def test_rollup_property(spark, imps, clicks, copies):
+       copies=st.integers(0, 3), shuffle_plan=st.booleans())
+def test_rollup_property(spark, imps, clicks, copies, shuffle_plan):
     clicks = clicks + imps[:1] * copies  # repeated clicks on one impression
     i = spark.createDataFrame(imps, DELIVERY_LOG)
     c = spark.createDataFrame(clicks, DELIVERY_LOG) if clicks else spark.createDataFrame([], DELIVERY_LOG)
-    got = {(r.xid_imp, r.date): (r.impressions, r.clicks) for r in events.user_days(i, c, P).collect()}
+    limit = 0 if shuffle_plan else events.BROADCAST_CLICK_ROWS
+    got = {(r.xid_imp, r.date): (r.impressions, r.clicks) for r in events.user_days(i, c, P, broadcast_limit=limit).collect()}
     assert got == brute_rollup(imps, clicks, P)
 
 
