@@ -14,6 +14,7 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+from liftlens.operators import events  # noqa: E402
 from liftlens.plans.dashboard import Dashboard  # noqa: E402
 from liftlens.plans.queries import DEFAULT_PARAMS  # noqa: E402
 from liftlens.session import ensure_checkpoint_dir, local_session  # noqa: E402
@@ -21,6 +22,9 @@ from liftlens.sources.standins import standin_fingerprint, write_standins  # noq
 
 KEY_QUERIES = {
     "clicks_impressions_by_user_day": lambda d: d.user_days,
+    "clicks_impressions_by_user_day (click side above the broadcast bound)": lambda d: events.user_days(
+        d.tables.impressions, d.tables.clicks, d.p, broadcast_limit=0
+    ),
     "ctr_by_decile_models": lambda d: d.ctr_by_decile(),
     "z_test_high_band": lambda d: d.z_test_high_band(),
     "overlap_decile_matrix": lambda d: d.overlap_decile_matrix(),
