@@ -21,9 +21,10 @@ from liftlens.sources.catalog import Tables
 
 
 class Dashboard:
-    def __init__(self, tables: Tables, params: Params):
+    def __init__(self, tables: Tables, params: Params, click_broadcast_rows: int = events.BROADCAST_CLICK_ROWS):
         self.tables = tables
         self.p = params
+        self.click_broadcast_rows = click_broadcast_rows
         self._user_days: DataFrame | None = None
         self._deciles: DataFrame | None = None
         self._pairs: DataFrame | None = None
@@ -38,7 +39,7 @@ class Dashboard:
     @property
     def user_days(self) -> DataFrame:
         if self._user_days is None:
-            self._user_days = events.rollup_user_day(self.impressions(), self.clicks())
+            self._user_days = events.rollup_user_day(self.impressions(), self.clicks(), self.click_broadcast_rows)
         return self._user_days
 
     def materialize(self) -> "Dashboard":

@@ -172,6 +172,8 @@ def oracle_sql(p: Params = DEFAULT_PARAMS) -> dict[str, str]:
         "clicks_filtered": f"{pre}\nselect * from fc",
         "clicks_impressions_by_user_day": f"{pre}\nselect * from ud",
         "clicks_impressions_by_user_day_line_items": f"{pre_li}\nselect * from ud",
+        "clicks_impressions_by_user_day_shuffled": f"{pre}\nselect * from ud",
+        "ctr_by_decile_models_shuffled": f"{pre}\nselect model, {ctr_cols} from dec_all",
         "order_names": f"""{pre},
 ids as (select cast(v as bigint) as orderId from (select unnest({[int(x) for x in p.order_ids]}) as v)),
 ranked as (select orderId, orderName, row_number() over (
