@@ -31,6 +31,18 @@ def prepare_scores(scores: DataFrame, p: Params, models=None) -> DataFrame:
     ).dropDuplicates()
 
 
+def restrict_to_user_days(scores: DataFrame, user_days: DataFrame) -> DataFrame:
+    """Score rows whose (user, day) appears in ``user_days``: a left-semi join
+    with a broadcast of the user-day keys, applied where the scores are read.
+
+    Only for a user-day frame of checked, bounded size. The left join of the
+    decile report never uses other score rows, so its result is unchanged,
+    while the score shuffles shrink to the exposed users.
+    """
+    keys = user_days.select(F.col("xid_imp").alias("xid"), F.col("date"))
+    return scores.join(F.broadcast(keys), ["xid", "date"], "left_semi").select(*scores.columns)
+
+
 def _models_frame(spark: SparkSession, models) -> DataFrame:
     distinct = list(dict.fromkeys(models))
     return spark.createDataFrame([(m,) for m in distinct], "model string")
