@@ -26,6 +26,7 @@ KEY_QUERIES = {
         d.tables.impressions, d.tables.clicks, d.p, broadcast_limit=0
     ),
     "ctr_by_decile_models": lambda d: d.ctr_by_decile(),
+    "ctr_by_decile_models (materialized dashboard, scores pruned to exposed user-days)": lambda d: _pruned(d),
     "z_test_high_band": lambda d: d.z_test_high_band(),
     "overlap_decile_matrix": lambda d: d.overlap_decile_matrix(),
     "score_correlation": lambda d: d.score_correlation(),
@@ -33,6 +34,12 @@ KEY_QUERIES = {
 }
 
 
+def _pruned(d):
+    d.materialize()
+    d._deciles = None  # show the decile plan itself, not its checkpoint
+    return d.ctr_by_decile()
+
+
 def tree(df) -> str:
     df.collect()  # so the adaptive plan is final
     buf = io.StringIO()
