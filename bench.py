@@ -86,7 +86,10 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "5"))
     spark = local_session(cpus, shuffle_partitions=cpus)
+    # the configured shared folder itself (not the per-run subfolder Spark adds),
+    # so later runs reuse the written stand-ins
     shared = ensure_checkpoint_dir(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or shared
     tables = write_standins(spark, sf_dir, f"{shared}/liftlens-standins-{standin_fingerprint(sf_dir)}", cpus)
     results = {}
     for name, build in HEADLINE.items():

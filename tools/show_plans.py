@@ -56,7 +56,10 @@ def main() -> None:
     spark = local_session(8)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    # the configured shared folder itself (not the per-run subfolder Spark adds),
+    # so later runs reuse the written stand-ins
     shared = ensure_checkpoint_dir(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or shared
     tables = write_standins(spark, sf_dir, f"{shared}/liftlens-standins-{standin_fingerprint(sf_dir)}", 8)
     for name, build in KEY_QUERIES.items():
         print(f"### `{name}`\n\n```")
