@@ -66,3 +66,22 @@ def test_decile_property(spark, uds, scores):
     for m in p.models:
         mine = {(r.tid, r.decile): (r.impressions, r.clicks) for r in got if r.model == m}
         assert mine == brute_deciles(uds, scores, m)
+
+
+overlap_row = st.tuples(st.sampled_from(["u1", "u2", "u3", "u4"]), st.dates(dt.date(2020, 1, 1), dt.date(2020, 1, 3)),
+                        st.sampled_from(["a", "b", "c"]), st.sampled_from([0.1, 0.7, None]),
+                        st.sampled_from([1, 4, 9, None]))
+
+
+@SETTINGS
+@given(scores=st.lists(overlap_row, max_size=30))
+def test_overlap_pairs_property(spark, scores):
+    from liftlens.operators import overlap
+    from tests.test_overlap import _join_formulation
+
+    p = Params(dt.date(2020, 1, 1), dt.date(2020, 1, 2), (1,), ("a", "b"))
+    sc = spark.createDataFrame(scores, SC_SCHEMA)
+    got = sorted(map(str, overlap.best_score_pairs(sc, p, "a", "b").collect()))
+    cols = ["xid", "tid1Decile", "tid1Score", "tid2Decile", "tid2Score"]
+    want = sorted(map(str, _join_formulation(sc, p).select(*cols).collect()))
+    assert got == want
