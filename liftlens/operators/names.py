@@ -37,7 +37,8 @@ def order_names(line_items: DataFrame, order_ids) -> DataFrame:
     return (
         wanted.join(F.broadcast(first), "orderId", "left")
         .select("pos", "orderId", F.col("first.name").alias(ORDER_NAME_COLUMN))
-        .orderBy("pos")
+        .coalesce(1)  # one row per requested id: a single sorted partition suffices
+        .sortWithinPartitions("pos")
         .drop("pos")
     )
 
