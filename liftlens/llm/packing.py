@@ -13,7 +13,11 @@ badly filled windows at the end of a task are a small part of its share.
 from __future__ import annotations
 
 import os
+import re
+import struct
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,41 +29,93 @@ from pyspark.sql import types as T
 from .common import arrow_type, materialize, shuffle_partitions, slices
 
 WINDOW = 4096
-CACHE_WORDS = 200_000  # per Python worker; cleared when full
-CACHED_LENGTH = 48  # longer space-free runs are encoded anew each time
+CACHE_RUNS = 400_000  # per Python worker and cache; cleared when full
+CACHE_STEMS = 800_000
+CACHED_LENGTH = 48  # longer runs are encoded anew each time
+
+
+def _byte_characters() -> dict[int, str]:
+    """Characters that stand for bytes in byte-level vocabularies: printable
+    Latin-1 bytes stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class WordEncoder:
     """Ids of a text from the ids of its space-separated runs.
 
-    Only for tokenizers that drop white space and never merge across it. A run
-    of text between two spaces then has the same ids alone as inside the text,
-    and each distinct run is encoded once.
+    Only for byte-level tokenizers that lower-case, drop white space and split
+    letters from other marks before they merge. A run of text between two
+    spaces then has the same ids alone as inside the text. A run of Latin-1
+    letters with closing marks is its lower-cased letters and its marks, which
+    are encoded once each; other runs go through the whole tokenizer.
     """
 
+    WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
+        self.merge = self.tokenizer.model.tokenize
+        self.characters = _byte_characters()
+        self.runs: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def _whole(self, runs: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)
+        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _stem(self, stem: str) -> bytes:
+        text = stem if stem.isascii() else "".join(map(self.characters.__getitem__, stem.encode()))
+        return struct.pack(f"<{len(ids)}I", *ids) if (ids := [t.id for t in self.merge(text)]) else b""
+
+    def _new_runs(self, new: list[str]) -> dict[str, bytes]:
+        got, others, stems, marks = {}, [], self.stems, self.marks
+        match = self.WORD.fullmatch
+        for run in new:
+            word = match(run) if len(run) <= CACHED_LENGTH else None
+            if word is None:
+                others.append(run)
+                continue
+            stem, mark = word.groups()
+            stem = stem.lower()
+            ids = stems.get(stem)
+            if ids is None:
+                ids = stems[stem] = self._stem(stem)
+            if mark:
+                if mark not in marks:
+                    marks[mark] = self._whole([mark])[0]
+                ids += marks[mark]
+            got[run] = ids
+        for lo in range(0, len(others), 4096):
+            got.update(zip(others[lo : lo + 4096], self._whole(others[lo : lo + 4096])))
+        return got
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        known = self.cache
-        new = list({w for words in split for w in words if w not in known})
-        got = {}
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                got[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-        known.update((w, b) for w, b in got.items() if len(w) <= CACHED_LENGTH)
-        if all(len(w) <= CACHED_LENGTH for w in got):
-            return [b"".join(map(known.__getitem__, words)) for words in split]
-        return [b"".join([got[w] if w in got else known[w] for w in words]) for words in split]
+        if len(self.runs) > CACHE_RUNS:
+            self.runs.clear()
+        if len(self.stems) > CACHE_STEMS:
+            self.stems.clear()
+        known = self.runs
+        got = self._new_runs(list(set(chain.from_iterable(split)).difference(known)))
+        known.update(got)
+        out = [b"".join(map(known.__getitem__, runs)) for runs in split]
+        for run in got:
+            if len(run) > CACHED_LENGTH:
+                del known[run]
+        return out
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path)
 
 
 def tokenize(
@@ -83,11 +139,11 @@ def tokenize(
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        own = encoder(tokenizer_path)
         for batch in batches:
             for part in slices(batch, 1):
                 rows: list[tuple] = []
-                for key, raw in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                for key, raw in zip(part.column(0).to_pylist(), own.encode(part.column(1).to_pylist())):
                     raw += end
                     n = len(raw) // 4
                     rows += [(key, s, min(window, n - s), n, raw[4 * s : 4 * (s + window)]) for s in range(0, n, window)]
