@@ -20,6 +20,7 @@ from .common import arrow_type, index_words, slices
 
 REPEAT_WINDOW = 8
 MIN_WORDS = 20
+HASH_BITS = 64
 MAX_REPEAT_PERCENT = 30
 MAX_LOST_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
@@ -85,10 +86,10 @@ def repeated_words(words: np.ndarray, bounds: np.ndarray, window: int = REPEAT_W
         for i in range(window):
             key = (key ^ words[i : n - window + 1 + i].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
             key ^= key >> np.uint64(29)
-    key = key[starts]
+    key = key[starts] >> np.uint64(64 - HASH_BITS)
     order = np.argsort(key, kind="stable")
     same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
-    first, second = starts[order[same]], starts[order[same + 1]]
+    first, second = starts[order[same]], starts[order[same + 1]]  # neighbours by hash
     found = np.unique(np.concatenate([first, second]))
     if not len(found):
         return counts
