@@ -16,7 +16,7 @@ import argparse
 
 from pyspark.sql import SparkSession
 
-from liftlens.constants import DEFAULT_ALPHA
+from liftlens.constants import DEFAULT_ALPHA, USER_ID_KEY
 from liftlens.params import Params
 from liftlens.plans.dashboard import Dashboard
 from liftlens.sources.catalog import TableNames, read_catalog
@@ -31,6 +31,7 @@ def parse_args(argv=None) -> argparse.Namespace:
     ap.add_argument("--model2", required=True)
     ap.add_argument("--line-items", dest="line_item_ids", default="", help="optional comma separated line item ids")
     ap.add_argument("--alpha", type=float, default=DEFAULT_ALPHA)
+    ap.add_argument("--user-key", default=USER_ID_KEY, help="key of the targeting map that carries the user id")
     ap.add_argument("--out", required=True, help="folder for the report tables")
     defaults = TableNames()
     ap.add_argument("--impressions", default=defaults.impressions)
@@ -42,9 +43,9 @@ def parse_args(argv=None) -> argparse.Namespace:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
-    params = Params.from_text(args.start, args.end, args.orders, args.model1, args.model2, args.line_item_ids, args.alpha)
+    params = Params.from_text(args.start, args.end, args.orders, args.model1, args.model2, args.line_item_ids, args.alpha, args.user_key)
     names = TableNames(args.impressions, args.clicks, args.scores, args.line_item_table, args.segments)
-    return Dashboard(read_catalog(spark, names), params).materialize().save(args.out)
+    return Dashboard(read_catalog(spark, names), params).save(args.out)
 
 
 def main(argv=None) -> None:

@@ -1,7 +1,7 @@
 """The dashboard's own entry points, by name, over DataFrames.
 
 For users moving from the notebook: each function keeps the notebook's name and
-argument order, takes input frames instead of catalog names (see
+argument order after the input frames, takes frames instead of catalog names (see
 :func:`liftlens.sources.read_catalog`) and returns a lazy DataFrame instead of
 displaying or collecting. Drawing functions have no counterpart; their data is
 the dense and matrix frames.
@@ -9,10 +9,12 @@ the dense and matrix frames.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftlens.operators import events, lift, overlap, significance
+from liftlens.functions.stats import two_proportion_z, two_sided_p_value, verdict
+from liftlens.operators.significance import with_sentences
 from liftlens.params import Params, parse_id_list
 from liftlens.plans.dashboard import single_model
 
@@ -47,9 +49,17 @@ def group_ctr_decile_groups(ctr_by_decile: DataFrame) -> DataFrame:
     return out if has_model else out.drop("model")
 
 
-def calculate_p_value(band_model1: DataFrame, band_model2: DataFrame, alpha: float = 0.05) -> DataFrame:
+def calculate_p_value(spark: SparkSession, counts1: int, counts2: int, nobs1: int, nobs2: int, alpha: float = 0.05) -> DataFrame:
+    """One-row z-test of two click counts out of two impression counts."""
+    frame = spark.createDataFrame([(counts1, counts2, nobs1, nobs2)], "c1 long, c2 long, n1 long, n2 long")
+    z = frame.select(two_proportion_z("c1", "n1", "c2", "n2").alias("z"), F.lit(float(alpha)).alias("alpha"))
+    return with_sentences(z.withColumn("p_value", two_sided_p_value("z")).withColumn("verdict", verdict("p_value", "alpha")))
+
+
+def compare_bands(band_model1: DataFrame, band_model2: DataFrame, alpha: float = 0.05) -> DataFrame:
     """One-row z-test of the H bands of two band frames (each one model's
-    :func:`group_ctr_decile_groups` output)."""
+    :func:`group_ctr_decile_groups` output). The notebook passes four counts: see
+    :func:`calculate_p_value`."""
 
     def tagged(frame: DataFrame, tag: str) -> DataFrame:
         return frame.select(F.lit(tag).alias("model"), "tid", "DecileGroup", "impressions", "clicks")

@@ -56,3 +56,8 @@ VERDICT_NOT_REJECTED = (
 
 # Section title prefix per model, e.g. "Model 1: <segment name>".
 MODEL_TITLE_PREFIX = "Model "
+
+# Sentences in front of a test's values and of the score correlation.
+P_VALUE_TEXT = "The calculated p_value is: "
+ALPHA_TEXT = "alpha is: "
+CORRELATION_TEXT = "The correlation between the scores of the two models is: "

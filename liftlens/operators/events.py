@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from liftlens.constants import SERVE_KEYS, USER_ID_KEY
+from liftlens.constants import SERVE_KEYS
 from liftlens.functions.columns import in_window, user_id
 from liftlens.params import Params
 
@@ -45,7 +45,7 @@ def _keep_ids(log: DataFrame, column: str, ids, limit: int) -> DataFrame:
     return log.join(F.broadcast(wanted), column, "left_semi").select(*log.columns)
 
 
-def filter_log(log: DataFrame, p: Params, *, key: str = USER_ID_KEY, inline_limit: int = INLINE_ID_LIMIT) -> DataFrame:
+def filter_log(log: DataFrame, p: Params, *, inline_limit: int = INLINE_ID_LIMIT) -> DataFrame:
     """Rows of one delivery log inside the campaign window.
 
     Keeps rows whose order id is requested, whose ``logdate`` lies in the
@@ -59,12 +59,12 @@ def filter_log(log: DataFrame, p: Params, *, key: str = USER_ID_KEY, inline_limi
     log = _keep_ids(log, "OrderId", p.order_ids, inline_limit)
     if p.line_item_ids:
         log = _keep_ids(log, "LineItemId", p.line_item_ids, inline_limit)
-    return log.withColumn("xid", user_id("CustomTargeting", key)).filter(F.col("xid").isNotNull())
+    return log.withColumn("xid", user_id("CustomTargeting", p.user_key)).filter(F.col("xid").isNotNull())
 
 
-def impressions_filtered(impressions: DataFrame, p: Params, *, key: str = USER_ID_KEY) -> DataFrame:
+def impressions_filtered(impressions: DataFrame, p: Params) -> DataFrame:
     """One row per impression: serve keys, ``date``, ``xid_imp``, ``impressions = 1``."""
-    return filter_log(impressions, p, key=key).select(
+    return filter_log(impressions, p).select(
         *SERVE_KEYS,
         F.col("logdate").alias("date"),
         F.col("xid").alias("xid_imp"),
@@ -72,9 +72,9 @@ def impressions_filtered(impressions: DataFrame, p: Params, *, key: str = USER_I
     )
 
 
-def clicks_filtered(clicks: DataFrame, p: Params, *, key: str = USER_ID_KEY) -> DataFrame:
+def clicks_filtered(clicks: DataFrame, p: Params) -> DataFrame:
     """One row per click: serve keys, ``logdate``, ``xid``, ``clicks = 1``."""
-    return filter_log(clicks, p, key=key).select(*SERVE_KEYS, "logdate", "xid", F.lit(1).alias("clicks"))
+    return filter_log(clicks, p).select(*SERVE_KEYS, "logdate", "xid", F.lit(1).alias("clicks"))
 
 
 def match_condition() -> Column:
@@ -98,56 +98,24 @@ def impression_counts(imps_f: DataFrame) -> DataFrame:
     return imps_f.groupBy(*SERVE_KEYS, "xid_imp", "date").agg(F.count(F.lit(1)).alias("n_imps"))
 
 
-# Click rows up to which the click counts are broadcast to the impressions.
-# Hashed on 12 keys a row takes about 450 bytes (measured: 72 MiB for 169k
-# rows), so the broadcast stays under ~110 MB; beyond it the shuffle plan runs.
-BROADCAST_CLICK_ROWS = 250_000
-
-
-def clicks_fit_broadcast(clicks_f: DataFrame, limit: int = BROADCAST_CLICK_ROWS) -> bool:
-    """Whether the filtered click log has at most ``limit`` rows. The scan stops
-    as soon as ``limit + 1`` rows are seen, so the check stays cheap on any
-    size; the click counts have at most as many rows as the clicks."""
-    return limit > 0 and clicks_f.limit(limit + 1).count() <= limit
-
-
-def rollup_user_day(imps_f: DataFrame, clicks_f: DataFrame, broadcast_limit: int = BROADCAST_CLICK_ROWS) -> DataFrame:
+def rollup_user_day(imps_f: DataFrame, clicks_f: DataFrame) -> DataFrame:
     """Impressions and clicks per user-day: ``xid_imp, date, impressions, clicks``.
 
     Equal to summing the left outer join of impressions with clicks on all
     serve keys and the user id (see module doc), without emitting its pairs.
 
-    Two plans, chosen by a size check of the click side:
-
-    * at most ``broadcast_limit`` click rows: the click counts are broadcast
-      and joined to the impressions where they are read; impressions then move
-      once, as partial sums per user-day (hot copies collapse there);
-    * otherwise: impressions are counted per (serve key, day) map-side, shuffled
-      to the click counts and joined there.
+    One plan at any size, and no job while it is built: impressions are counted
+    per (serve key, day) map-side, so that hot copies collapse, and meet the
+    click counts of their key. Spark turns the join into a broadcast one where
+    the click counts turn out small at run time.
     """
-    clks = click_counts(clicks_f)
-    if clicks_fit_broadcast(clicks_f, broadcast_limit):
-        joined = imps_f.join(F.broadcast(clks), match_condition(), "left")
-        n_imps = F.lit(1)
-    else:
-        imps = impression_counts(imps_f)
-        joined = imps.join(clks, match_condition(), "left")
-        n_imps = F.col("n_imps")
+    joined = impression_counts(imps_f).join(click_counts(clicks_f), match_condition(), "left")
     return joined.groupBy("xid_imp", "date").agg(
-        F.sum(n_imps * F.coalesce(F.col("n_clicks"), F.lit(1))).alias("impressions"),
-        F.sum(n_imps * F.coalesce(F.col("n_clicks"), F.lit(0))).alias("clicks"),
+        F.sum(F.col("n_imps") * F.coalesce(F.col("n_clicks"), F.lit(1))).alias("impressions"),
+        F.sum(F.col("n_imps") * F.coalesce(F.col("n_clicks"), F.lit(0))).alias("clicks"),
     )
 
 
-def user_days(
-    impressions: DataFrame,
-    clicks: DataFrame,
-    p: Params,
-    *,
-    key: str = USER_ID_KEY,
-    broadcast_limit: int = BROADCAST_CLICK_ROWS,
-) -> DataFrame:
+def user_days(impressions: DataFrame, clicks: DataFrame, p: Params) -> DataFrame:
     """Filter both logs with ``p`` and roll them up per user-day."""
-    return rollup_user_day(
-        impressions_filtered(impressions, p, key=key), clicks_filtered(clicks, p, key=key), broadcast_limit
-    )
+    return rollup_user_day(impressions_filtered(impressions, p), clicks_filtered(clicks, p))

@@ -31,18 +31,6 @@ def prepare_scores(scores: DataFrame, p: Params, models=None) -> DataFrame:
     ).dropDuplicates()
 
 
-def restrict_to_user_days(scores: DataFrame, user_days: DataFrame) -> DataFrame:
-    """Score rows whose (user, day) appears in ``user_days``: a left-semi join
-    with a broadcast of the user-day keys, applied where the scores are read.
-
-    Only for a user-day frame of checked, bounded size. The left join of the
-    decile report never uses other score rows, so its result is unchanged,
-    while the score shuffles shrink to the exposed users.
-    """
-    keys = user_days.select(F.col("xid_imp").alias("xid"), F.col("date"))
-    return scores.join(F.broadcast(keys), ["xid", "date"], "left_semi").select(*scores.columns)
-
-
 def _models_frame(spark: SparkSession, models) -> DataFrame:
     distinct = list(dict.fromkeys(models))
     return spark.createDataFrame([(m,) for m in distinct], "model string")
@@ -71,17 +59,23 @@ def decile_sums(user_days: DataFrame, scores_dedup: DataFrame, models) -> DataFr
     with several distinct score rows counts once per row), and one row with
     ``tid`` and ``decile`` NULL for the user-days m did not score -- what a
     separate left join of the user-days with m's scores gives, for all models
-    in one pass.
+    in one pass. A user-day may come in several rows (the rollups of several
+    campaigns, say); they are summed first. Requested ids are compared as
+    values of the type of ``tid`` and named as requested.
     """
     models = list(dict.fromkeys(models))
     tid_type = scores_dedup.schema["tid"].dataType
     s = score_counts(scores_dedup)
+    model = F.coalesce(*[F.when(F.col("tid") == F.lit(m).try_cast(tid_type), F.lit(m)) for m in models])
+    user_days = user_days.groupBy("xid_imp", "date").agg(
+        F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks")
+    )
     # xid first, then date: the key order of the user-day grouping.
     joined = user_days.join(
         s, (F.col("xid_imp") == F.col("s_xid")) & (F.col("date") == F.col("s_date")), "left"
     )
     hit = F.struct(
-        F.col("tid").cast("string").alias("model"),
+        model.alias("model"),
         F.col("tid").alias("tid"),
         F.col("decile").alias("decile"),
         F.col("n_rows").alias("n_rows"),
@@ -92,7 +86,7 @@ def decile_sums(user_days: DataFrame, scores_dedup: DataFrame, models) -> DataFr
         F.max("impressions").alias("impressions"),
         F.max("clicks").alias("clicks"),
         F.collect_list(F.when(F.col("tid").isNotNull(), hit)).alias("hits"),
-        F.collect_set(F.col("tid").cast("string")).alias("seen"),
+        F.collect_set(model).alias("seen"),
     )
     wanted = F.array(*[F.lit(m) for m in models])
     missing = F.transform(

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from liftlens.constants import BANDS, DECILES
+from liftlens.constants import BANDS, CORRELATION_TEXT, DECILES
 from liftlens.functions.columns import band, count_label, percent_label
 from liftlens.functions.stats import pearson
 from liftlens.functions.columns import in_window
@@ -126,3 +126,9 @@ def overlap_band_matrix(band_cells: DataFrame) -> DataFrame:
 def overlap_decile_wide(decile_matrix: DataFrame) -> DataFrame:
     """Ten rows (model 1 decile) by ten count columns ``"1"``..``"10"`` (model 2)."""
     return decile_matrix.groupBy("tid1Decile").pivot("tid2Decile", list(DECILES)).agg(F.sum("n"))
+
+
+def with_sentence(correlation: DataFrame) -> DataFrame:
+    """Adds the report's sentence about the ``correlation`` column."""
+    text = F.coalesce(F.col("correlation").cast("string"), F.lit("nan"))
+    return correlation.withColumn("correlation_text", F.concat(F.lit(CORRELATION_TEXT), text))

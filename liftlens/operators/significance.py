@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftlens.constants import BAND_HIGH
+from liftlens.constants import ALPHA_TEXT, BAND_HIGH, P_VALUE_TEXT
 from liftlens.functions.stats import two_proportion_z, two_sided_p_value, verdict
 
 
@@ -42,3 +42,13 @@ def band_z_test(band_frame: DataFrame, model1: str, model2: str, alpha: float, b
         F.coalesce(F.col("p_value") < F.col("alpha"), F.lit(False)).alias("significant"),
         verdict("p_value", "alpha").alias("verdict"),
     )
+
+
+def with_sentences(result: DataFrame) -> DataFrame:
+    """Adds the report's sentences about ``p_value`` and ``alpha``."""
+    return result.withColumns(
+        {
+            "p_value_text": F.concat(F.lit(P_VALUE_TEXT), F.coalesce(F.col("p_value").cast("string"), F.lit("nan"))),
+            "alpha_text": F.concat(F.lit(ALPHA_TEXT), F.col("alpha").cast("string")),
+        }
+    )

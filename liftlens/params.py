@@ -9,9 +9,9 @@ the Parquet scan.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
-from liftlens.constants import DEFAULT_ALPHA
+from liftlens.constants import DEFAULT_ALPHA, USER_ID_KEY
 
 
 def parse_id_list(text: str | None, *, required: bool) -> tuple[int, ...]:
@@ -49,6 +49,7 @@ class Params:
     models: tuple[str, ...]
     line_item_ids: tuple[int, ...] = field(default=())
     alpha: float = DEFAULT_ALPHA
+    user_key: str = USER_ID_KEY  # key of the targeting map that carries the user id
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "start_date", _as_date(self.start_date))
@@ -62,6 +63,8 @@ class Params:
             raise ValueError(f"model ids must be non-empty, got {self.models!r}")
         if self.start_date > self.end_date:
             raise ValueError(f"start date {self.start_date} is after end date {self.end_date}")
+        if not self.user_key:
+            raise ValueError("the user key must not be empty")
         if not 0.0 < self.alpha < 1.0:
             raise ValueError(f"alpha must be in (0, 1), got {self.alpha}")
 
@@ -85,6 +88,7 @@ class Params:
         model2: str,
         line_item_ids: str = "",
         alpha: float = DEFAULT_ALPHA,
+        user_key: str = USER_ID_KEY,
     ) -> "Params":
         """Build from the six text inputs of the dashboard form."""
         return cls(
@@ -94,7 +98,8 @@ class Params:
             models=(model1.strip(), model2.strip()),
             line_item_ids=parse_id_list(line_item_ids, required=False),
             alpha=alpha,
+            user_key=user_key,
         )
 
     def with_line_items(self, ids: tuple[int, ...]) -> "Params":
-        return Params(self.start_date, self.end_date, self.order_ids, self.models, tuple(ids), self.alpha)
+        return replace(self, line_item_ids=tuple(ids))

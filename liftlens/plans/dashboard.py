@@ -20,26 +20,11 @@ from liftlens.session import ensure_checkpoint_dir
 from liftlens.sources.catalog import Tables
 
 
-# User-days up to which a materialized dashboard prunes the scores to the
-# exposed (user, day) keys with a broadcast semi join. A key row takes about
-# 560 bytes once hashed (measured: 72 MiB for 134k), so the broadcast stays
-# under ~110 MB; beyond it the scores are joined unpruned.
-EXPOSURE_BROADCAST_ROWS = 200_000
-
-
 class Dashboard:
-    def __init__(
-        self,
-        tables: Tables,
-        params: Params,
-        click_broadcast_rows: int = events.BROADCAST_CLICK_ROWS,
-        exposure_broadcast_rows: int = EXPOSURE_BROADCAST_ROWS,
-    ):
+    def __init__(self, tables: Tables, params: Params):
         self.tables = tables
         self.p = params
-        self.click_broadcast_rows = click_broadcast_rows
-        self.exposure_broadcast_rows = exposure_broadcast_rows
-        self._prune_scores = False
+        self._materialized = False
         self._user_days: DataFrame | None = None
         self._deciles: DataFrame | None = None
         self._pairs: DataFrame | None = None
@@ -54,7 +39,7 @@ class Dashboard:
     @property
     def user_days(self) -> DataFrame:
         if self._user_days is None:
-            self._user_days = events.rollup_user_day(self.impressions(), self.clicks(), self.click_broadcast_rows)
+            self._user_days = events.rollup_user_day(self.impressions(), self.clicks())
         return self._user_days
 
     def materialize(self) -> "Dashboard":
@@ -63,9 +48,7 @@ class Dashboard:
         checkpoints, never executor-local ones)."""
         ensure_checkpoint_dir(self.tables.impressions.sparkSession)
         self._user_days = self.user_days.checkpoint(eager=True)
-        # Cheap on the checkpointed rollup; stops after the bound.
-        bound = self.exposure_broadcast_rows
-        self._prune_scores = bound > 0 and self._user_days.limit(bound + 1).count() <= bound
+        self._materialized = True
         if self.p.models:  # log-only parameters have nothing to score
             self._deciles = self.ctr_by_decile().checkpoint(eager=True)
             self._pairs = self.pairs.checkpoint(eager=True)
@@ -80,10 +63,7 @@ class Dashboard:
         if self._deciles is not None and set(models) <= set(self.p.models):
             # each model's rows are independent of the other models scored with it
             return self._deciles.filter(F.col("model").isin(models))
-        scores = self.tables.scores
-        if self._prune_scores:
-            scores = lift.restrict_to_user_days(scores, self.user_days)
-        return lift.ctr_by_decile(self.user_days, lift.prepare_scores(scores, self.p, models), models)
+        return lift.ctr_by_decile(self.user_days, lift.prepare_scores(self.tables.scores, self.p, models), models)
 
     def ctr_by_band(self, models=None) -> DataFrame:
         return lift.ctr_by_band(self.ctr_by_decile(models))
@@ -163,7 +143,10 @@ class Dashboard:
     def save(self, path: str, reports=REPORTS, mode: str = "overwrite") -> dict[str, str]:
         """Write each report as a Parquet table under ``path`` (one folder per
         report); returns the folder of each. Reports are small, so each is
-        written as a single file."""
+        written as a single file. Materializes first, so the log join runs
+        once for all reports."""
+        if not self._materialized:
+            self.materialize()
         out = {}
         for name in reports:
             target = f"{path.rstrip('/')}/{name}"

@@ -31,7 +31,7 @@ from liftlens.constants import (
     VERDICT_REJECTED,
 )
 from liftlens.params import Params
-from liftlens.plans.queries import ALL_MODELS, DEFAULT_PARAMS, LINE_ITEM_IDS, STAT_DIGITS
+from liftlens.plans.queries import ALL_MODELS, DEFAULT_PARAMS, FIXTURE_PARAMS, LINE_ITEM_IDS, STAT_DIGITS
 from liftlens.sources.standins import duckdb_prelude
 
 
@@ -148,7 +148,23 @@ join (select {col}, cast(sum(n) as bigint) as total from (
   on t.{col} = s.{col}"""
 
 
-def oracle_sql(p: Params = DEFAULT_PARAMS) -> dict[str, str]:
+CAMPAIGN = (
+    "impressions_filtered",
+    "clicks_filtered",
+    "clicks_impressions_by_user_day",
+    "ctr_by_decile_models",
+    "user_best_scores",
+    "order_names",
+)
+
+
+def oracle_sql() -> dict[str, str]:
+    """All registered queries: the whole tables, and the narrower campaign."""
+    campaign = queries_sql(FIXTURE_PARAMS)
+    return queries_sql(DEFAULT_PARAMS) | {f"{name}_campaign": campaign[name] for name in CAMPAIGN}
+
+
+def queries_sql(p: Params) -> dict[str, str]:
     pre = _prelude(p)
     pre_li = _prelude(p.with_line_items(LINE_ITEM_IDS))
     pre_all = _prelude(Params(p.start_date, p.end_date, p.order_ids, ALL_MODELS, p.line_item_ids, p.alpha))

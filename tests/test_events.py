@@ -65,24 +65,19 @@ def _brute(imps, clicks, p):
     return {k: tuple(v) for k, v in out.items()}
 
 
-def _spark(spark, imps, clicks, p, broadcast_limit=events.BROADCAST_CLICK_ROWS):
+def _spark(spark, imps, clicks, p):
     i = spark.createDataFrame(imps, DELIVERY_LOG)
     c = spark.createDataFrame(clicks, DELIVERY_LOG)
-    rows = events.user_days(i, c, p, broadcast_limit=broadcast_limit).collect()
+    rows = events.user_days(i, c, p).collect()
     return {(r.xid_imp, r.date): (r.impressions, r.clicks) for r in rows}
 
 
-# Both plans: click counts broadcast (default limit) and shuffled (limit 0).
-PLANS = [events.BROADCAST_CLICK_ROWS, 0]
-
-
-@pytest.mark.parametrize("limit", PLANS)
 @pytest.mark.parametrize("seed", range(4))
-def test_rollup_matches_nested_loop(spark, seed, limit):
+def test_rollup_matches_nested_loop(spark, seed):
     rng = random.Random(seed)
     imps = [_row(rng) for _ in range(120)]
     clicks = [_row(rng) for _ in range(60)] + imps[:10] + imps[:3]  # exact copies -> fan-out
-    assert _spark(spark, imps, clicks, P, limit) == _brute(imps, clicks, P)
+    assert _spark(spark, imps, clicks, P) == _brute(imps, clicks, P)
 
 
 def test_line_item_filter(spark):
@@ -93,8 +88,7 @@ def test_line_item_filter(spark):
     assert _spark(spark, imps, clicks, p) == _brute(imps, clicks, p)
 
 
-@pytest.mark.parametrize("limit", PLANS)
-def test_hot_copies_collapse_exactly(spark, limit):
+def test_hot_copies_collapse_exactly(spark):
     """A third of all rows are copies of one serve, clicked twice."""
     rng = random.Random(11)
     base = [_row(rng) for _ in range(80)]
@@ -102,16 +96,15 @@ def test_hot_copies_collapse_exactly(spark, limit):
                and r["logdate"] <= dt.date(2020, 1, 3) and r["CityId"] is not None)
     imps = base + [_row(rng, hot) for _ in range(40)]
     clicks = [dict(hot), dict(hot)] + base[:20]
-    got = _spark(spark, imps, clicks, P, limit)
+    got = _spark(spark, imps, clicks, P)
     assert got == _brute(imps, clicks, P)
 
 
-@pytest.mark.parametrize("limit", PLANS)
-def test_null_key_never_matches(spark, limit):
+def test_null_key_never_matches(spark):
     rng = random.Random(3)
     r = _row(rng)
     r.update(CityId=None, OrderId=1, logdate=dt.date(2020, 1, 1), CustomTargeting={"vnd_4d_xid": "u9"})
-    got = _spark(spark, [r], [dict(r)], P, limit)
+    got = _spark(spark, [r], [dict(r)], P)
     assert got == {("u9", dt.date(2020, 1, 1)): (1, 0)}
 
 
@@ -155,10 +148,12 @@ def test_window_compares_dates_for_timestamp_and_text_columns(spark):
 
 
 
-def test_size_check_picks_the_plan(spark):
-    rng = random.Random(9)
-    rows = [_row(rng) for _ in range(30)]
-    df = events.clicks_filtered(spark.createDataFrame(rows, DELIVERY_LOG), P)
-    n = df.count()
-    assert events.clicks_fit_broadcast(df, n) and not events.clicks_fit_broadcast(df, n - 1)
-    assert not events.clicks_fit_broadcast(df, 0)
+def test_another_targeting_key(spark):
+    rng = random.Random(5)
+    imps = [_row(rng) for _ in range(60)]
+    for r in imps:
+        r["CustomTargeting"] = {"own_key": "u1", **{k: "other" for k in r["CustomTargeting"]}}
+    frame = spark.createDataFrame(imps, DELIVERY_LOG)
+    p = Params(P.start_date, P.end_date, P.order_ids, P.models, user_key="own_key")
+    got = events.user_days(frame, frame, p).collect()
+    assert got and {r.xid_imp for r in got} == {"u1"}

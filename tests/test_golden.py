@@ -142,15 +142,3 @@ def test_golden_numbers_sf01(spark):
     assert cells.count() == 121 and cells.filter("tid1Decile is null or tid2Decile is null").count() == 21
     un = {r.tid: (r.clicks, r.impressions, r.ctr) for r in d.ctr_by_decile([FIXTURE_PARAMS.model1]).collect() if r.decile is None}
     assert un == {"1-URGENT": (309, 1002, 30.84), None: (50149, 160381, 31.27)}
-
-
-def test_materialized_dashboard_prunes_scores_to_exposed_users(spark):
-    d = dashboard(spark, SF0001, FIXTURE_PARAMS)
-    d._user_days = d.user_days.checkpoint(eager=True)
-    d._prune_scores = True
-    pruned = d.ctr_by_decile()
-    plan = pruned._jdf.queryExecution().executedPlan().toString()
-    assert "LeftSemi" in plan
-    lazy = dashboard(spark, SF0001, FIXTURE_PARAMS).ctr_by_decile()
-    assert sorted(map(str, pruned.collect())) == sorted(map(str, lazy.collect()))
-    assert dashboard(spark, SF0001, FIXTURE_PARAMS).materialize()._prune_scores is True

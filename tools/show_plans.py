@@ -22,11 +22,8 @@ from liftlens.sources.standins import standin_fingerprint, write_standins  # noq
 
 KEY_QUERIES = {
     "clicks_impressions_by_user_day": lambda d: d.user_days,
-    "clicks_impressions_by_user_day (click side above the broadcast bound)": lambda d: events.user_days(
-        d.tables.impressions, d.tables.clicks, d.p, broadcast_limit=0
-    ),
     "ctr_by_decile_models": lambda d: d.ctr_by_decile(),
-    "ctr_by_decile_models (materialized dashboard, scores pruned to exposed user-days)": lambda d: _pruned(d),
+    "ctr_by_decile_models (materialized dashboard)": lambda d: _materialized(d),
     "z_test_high_band": lambda d: d.z_test_high_band(),
     "overlap_decile_matrix": lambda d: d.overlap_decile_matrix(),
     "score_correlation": lambda d: d.score_correlation(),
@@ -34,7 +31,7 @@ KEY_QUERIES = {
 }
 
 
-def _pruned(d):
+def _materialized(d):
     d.materialize()
     d._deciles = None  # show the decile plan itself, not its checkpoint
     return d.ctr_by_decile()
