@@ -131,7 +131,7 @@ def mine_rules(
     """
     baskets = labelled.filter(F.col(block_col).isNotNull() & F.col(tokens_col).isNotNull())
     total = baskets.count()
-    if not total:
+    if total < max(1, min_rows):
         return []
     label = F.when(F.col(block_col), F.array(F.lit(BLOCK_ITEM))).otherwise(F.array().cast("array<string>"))
     items = F.concat(F.slice(F.array_sort(tokens_col), 1, MAX_ITEMS), label)

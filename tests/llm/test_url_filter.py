@@ -1,0 +1,60 @@
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from liftlens.llm import url_filter
+from liftlens.llm.queries import SITE_RULES
+
+URLS = [
+    None, "", "no scheme", "http://A.Example.ORG/es/x", "https://example.org/en/15?x=/es/", "http://xexample.org/es/", "http://b.com/fr/1#t",
+    "http://c.com/de", "http://c.com/de/", "http://com/de/?q", "http://a.net/en/1", "ftp://u@h:8/é/p#f", "http://x.org", "http://x.org?a=/b", "a://b://c/d",
+]
+
+
+def parts(url):
+    if not url or "://" not in url:
+        return "", ""
+    rest = url[url.index("://") + 3 :]
+    host = re.match(r"[^/?#]*", rest)[0]
+    path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), path
+
+
+def rule(host, path):
+    fits = [r for r in SITE_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return max(fits, key=lambda r: len(r.text), default=None)
+
+
+def test_parts_and_site_rules(spark):
+    rows = [(i, u) for i, u in enumerate(URLS)] + [(None, URLS[3]), (3, URLS[3])]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "'x' as host", "'y' as path", "'z' as rule")
+    got = url_filter.judge(pages, SITE_RULES, []).collect()
+    want = []
+    for k, u in rows:
+        host, path = parts(u)
+        r = rule(host, path)
+        want.append((k, host, path, r and r.text, r.verdict if r else "allow"))
+    assert sorted([tuple(r)[:5] for r in got], key=str) == sorted(want, key=str)
+    assert url_filter.judge(pages.limit(0), SITE_RULES, []).count() == 0
+    assert url_filter.judge(pages, [], []).filter("rule is not null").count() == 0
+
+
+def test_mined_rules_block(spark):
+    rows = [(i, f"http://{'casino' if i % 4 == 0 else 'news'}.x.net/{'win' if i % 2 else 'en'}/{i}.html?utm=1") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i % 4 != 0), 0 if i % 3 else None) for i in range(400)] + [(5, None, None)], "doc_id long, quality int, toxic int")
+    labelled = url_filter.label_urls(pages, labels)
+    mined = url_filter.mine_rules(labelled)
+    # brute force: every rule holds on the rows, and the planted one is found
+    data = [(set(r.tokens), r.block) for r in labelled.collect()]
+    assert ("host:casino",) in [r.tokens for r in mined]
+    for r in mined:
+        hit = [b for t, b in data if set(r.tokens) <= t]
+        assert sum(hit) == r.support >= url_filter.MIN_ROWS and sum(hit) / len(hit) == pytest.approx(r.confidence)
+        assert r.confidence >= url_filter.MIN_CONFIDENCE
+    got = url_filter.judge(pages, SITE_RULES, mined).filter("verdict = 'block'").select("page_id")
+    assert sorted(r[0] for r in got.collect()) == [i for i in range(400) if i % 4 == 0]
+    assert url_filter.mine_rules(labelled.limit(0)) == []
+    rare = labelled.filter(F.col("block")).limit(5)
+    assert url_filter.mine_rules(rare, min_rows=20) == []
