@@ -30,6 +30,8 @@ ORDER = 3
 MAX_NODES = 400_000
 MEMO_WINDOWS = 500_000  # cached window costs in a worker; cleared beyond
 FLUSH_NGRAMS = 300_000
+HELD_WORDS = 200_000  # distinct words, and bytes of the texts they come from, that a task
+HELD_BYTES = 64_000_000  # counts before it cuts them into n-grams
 UNKNOWN = "und"
 
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
@@ -136,20 +138,31 @@ def learn(
             grams.clear()
             return out
 
+        by_lang: dict[str, Counter[bytes]] = {}
+
+        def expand() -> None:
+            for lang, words in by_lang.items():
+                local: Counter[bytes] = Counter()
+                for word, n in words.items():
+                    for gram in ngrams(word, order):
+                        local[gram] += n
+                for gram, n in local.items():
+                    grams[lang, gram] += n
+            by_lang.clear()
+
+        # a word is cut into n-grams once for all its repetitions in several slices
+        held = 0
         for batch in batches:
             for part in slices(batch, 1):
-                by_lang: dict[str, Counter[bytes]] = {}
                 for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     by_lang.setdefault(lang, Counter()).update(words_of(text))
-                for lang, words in by_lang.items():
-                    local: Counter[bytes] = Counter()
-                    for word, n in words.items():
-                        for gram in ngrams(word, order):
-                            local[gram] += n
-                    for gram, n in local.items():
-                        grams[lang, gram] += n
+                held += part.column(1).nbytes
+                if held > HELD_BYTES or sum(map(len, by_lang.values())) > HELD_WORDS:
+                    expand()
+                    held = 0
                 if len(grams) > FLUSH_NGRAMS:
                     yield flush()
+        expand()
         if grams:
             yield flush()
 
