@@ -29,7 +29,6 @@ from .common import arrow_type, index_words, materialize, slices, text_sums
 ORDER = 3
 MAX_NODES = 400_000
 MEMO_WINDOWS = 500_000  # cached window costs in a worker; cleared beyond
-FLUSH_NGRAMS = 300_000
 HELD_WORDS = 200_000  # distinct words, and bytes of the texts they come from, that a task
 HELD_BYTES = 64_000_000  # counts before it cuts them into n-grams
 UNKNOWN = "und"
@@ -46,12 +45,45 @@ def has_letter(text: str | None) -> bool:
     return any(c.isalpha() for c in text or "")
 
 
-def ngrams(word: bytes, order: int) -> Iterator[bytes]:
-    """Each byte of the word and its closing space with the contexts of 0..order bytes before it."""
-    coded = b" " + word + b" "
-    for end in range(2, len(coded) + 1):
-        for start in range(max(0, end - 1 - order), end):
-            yield coded[start:end]
+def windows(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every byte of the words, each between an opening and a closing space, with
+    up to ``order`` bytes before it, as numbers whose last byte is the byte
+    itself; and the place of each byte in its word (0: the opening space)."""
+    data = np.frombuffer(b" " + b"  ".join(words) + b" ", dtype=np.uint8).astype(np.int64)
+    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2
+    place = np.arange(len(data)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    codes = np.zeros(len(data), dtype=np.int64)
+    for back in range(order, -1, -1):
+        moved = np.concatenate([np.zeros(back, dtype=np.int64), data[: len(data) - back]])
+        codes = (codes << 8) | np.where(place >= back, moved, 0)
+    return codes, place
+
+
+def ngram_counts(words: dict[bytes, int], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams as numbers, counts) of words with their counts: each byte of a
+    word and its closing space with the contexts of 0..order bytes before it."""
+    codes, place = windows(list(words), order)
+    times = np.fromiter(words.values(), dtype=np.int64, count=len(words))
+    times = np.repeat(times, np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 2)
+    coded = place > 0  # the opening space is given
+    longest, counts = _summed(codes[coded], times[coded])
+    out = []
+    for k in range(order + 1):
+        has = longest >= 1 << 8 * k  # bytes are never 0, so the size tells the length
+        out.append(_summed(longest[has] & ((1 << 8 * (k + 1)) - 1), counts[has]))
+    return np.concatenate([g for g, _ in out]), np.concatenate([n for _, n in out])
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def gram_bytes(code: int) -> bytes:
+    return code.to_bytes(8, "big").lstrip(b"\0")
 
 
 class ContextTrees:
@@ -88,14 +120,7 @@ class ContextTrees:
         """Code length of each word in each language."""
         if not words:
             return np.zeros((0, len(self.langs)))
-        data = np.frombuffer(b" " + b"  ".join(words) + b" ", dtype=np.uint8).astype(np.uint64)
-        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        first = np.concatenate([[0], np.cumsum(lengths + 2)[:-1]])  # of each word's opening space
-        place = np.arange(len(data)) - np.repeat(first, lengths + 2)
-        codes = np.zeros(len(data), dtype=np.uint64)
-        for back in range(self.order, -1, -1):
-            moved = np.concatenate([np.zeros(back, dtype=np.uint64), data[: len(data) - back]])
-            codes = (codes << np.uint64(8)) | np.where(place >= back, moved, np.uint64(0))
+        codes, place = windows(words, self.order)
         distinct, where = np.unique(codes, return_inverse=True)
         if len(self.memo) > MEMO_WINDOWS:
             self.memo, self.table = {}, np.zeros((0, len(self.langs)))
@@ -104,7 +129,7 @@ class ContextTrees:
         for i, code in enumerate(distinct.tolist()):
             row = memo.get(code)
             if row is None:
-                gram = code.to_bytes(8, "big").lstrip(b"\0")
+                gram = gram_bytes(code)
                 row = memo[code] = len(self.table) + len(new)
                 new.append([self.bits(k, gram) for k in range(len(self.langs))])
             at[i] = row
@@ -112,7 +137,7 @@ class ContextTrees:
             self.table = np.vstack([self.table, new])
         costs = self.table[at[where]]
         costs[place == 0] = 0.0  # the opening space is given
-        return np.add.reduceat(costs, first, axis=0)
+        return np.add.reduceat(costs, np.flatnonzero(place == 0), axis=0)
 
 
 def learn(
@@ -128,26 +153,13 @@ def learn(
     rows = docs.filter(F.col(lang_col).isNotNull()).select(lang_col, text_col)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: Counter[tuple[str, bytes]] = Counter()
-
-        def flush() -> pa.RecordBatch:
-            langs, keys = zip(*grams)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(keys, pa.binary()), pa.array(grams.values(), pa.int64())], names=["lang", "gram", "n"]
-            )
-            grams.clear()
-            return out
-
         by_lang: dict[str, Counter[bytes]] = {}
 
-        def expand() -> None:
+        def cut() -> Iterator[pa.RecordBatch]:
             for lang, words in by_lang.items():
-                local: Counter[bytes] = Counter()
-                for word, n in words.items():
-                    for gram in ngrams(word, order):
-                        local[gram] += n
-                for gram, n in local.items():
-                    grams[lang, gram] += n
+                if words:
+                    grams, counts = ngram_counts(words, order)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(grams)), pa.array(grams), pa.array(counts)], names=["lang", "gram", "n"])
             by_lang.clear()
 
         # a word is cut into n-grams once for all its repetitions in several slices
@@ -158,15 +170,11 @@ def learn(
                     by_lang.setdefault(lang, Counter()).update(words_of(text))
                 held += part.column(1).nbytes
                 if held > HELD_BYTES or sum(map(len, by_lang.values())) > HELD_WORDS:
-                    expand()
+                    yield from cut()
                     held = 0
-                if len(grams) > FLUSH_NGRAMS:
-                    yield flush()
-        expand()
-        if grams:
-            yield flush()
+        yield from cut()
 
-    partial = rows.mapInArrow(count, "lang string, gram binary, n long")
+    partial = rows.mapInArrow(count, "lang string, gram long, n long")
     summed = materialize(partial.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ppm-grams")
     at_least, taken = 0, 0
     level = F.floor(F.log2("n") * 8).cast("long")
@@ -178,7 +186,7 @@ def learn(
     kept = summed.filter(level >= at_least).toArrow()
     langs = sorted(set(kept["lang"].to_pylist()))
     index = {x: i for i, x in enumerate(langs)}
-    grams = zip(kept["lang"].to_pylist(), kept["gram"].to_pylist(), kept["n"].to_pylist())
+    grams = zip(kept["lang"].to_pylist(), map(gram_bytes, kept["gram"].to_pylist()), kept["n"].to_pylist())
     return ContextTrees(langs, [(index[a], g, n) for a, g, n in grams], order)
 
 
