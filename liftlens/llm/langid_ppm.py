@@ -8,8 +8,11 @@ scoring, so the code length of a text is exact and repeatable. Contexts start
 at the beginning of a word: a text is its words of letters, each coded with a
 closing space, and a text's code length is the sum over its words.
 
-Training counts all texts; n-grams are summed by Spark and the tree keeps at
-most ``MAX_NODES`` n-grams (the most frequent), which bounds the broadcast.
+Training counts all texts and keeps every n-gram. Up to ``MAX_NODES`` of them
+are broadcast as trees. More of them stay a written table: the n-grams of the
+texts to be judged are priced by joins with it, from the shortest on, the most
+frequent prices are broadcast, and the other windows of a text are looked up by
+a join. Both ways give the same code lengths.
 """
 
 from __future__ import annotations
@@ -17,17 +20,21 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import arrow_type, index_words, materialize, slices, text_sums
 
 ORDER = 3
-MAX_NODES = 400_000
+MAX_NODES = 400_000  # n-grams, or priced windows, that are broadcast
+MAX_PRICES = 8 * MAX_NODES  # numbers in the broadcast of priced windows
 MEMO_WINDOWS = 500_000  # cached window costs in a worker; cleared beyond
 HELD_WORDS = 200_000  # distinct words, and bytes of the texts they come from, that a task
 HELD_BYTES = 64_000_000  # counts before it cuts them into n-grams
@@ -140,17 +147,18 @@ class ContextTrees:
         return np.add.reduceat(costs, np.flatnonzero(place == 0), axis=0)
 
 
-def learn(
-    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES
-) -> ContextTrees:
-    """Context trees from all rows with a language. No such row: no languages.
+@dataclass
+class GramTable:
+    """Statistics that are too many for a broadcast, as a written table (lang, gram, n)."""
+
+    langs: list[str]
+    order: int
+    grams: DataFrame
+    max_nodes: int
 
-    Every language is one index of a list made on the driver; the number of
-    languages is the number of distinct labels.
-    """
-    if not 1 <= order <= 6:
-        raise ValueError("order must be 1..6")
-    rows = docs.filter(F.col(lang_col).isNotNull()).select(lang_col, text_col)
+
+def gram_counts(rows: DataFrame, order: int) -> DataFrame:
+    """(lang, gram, n) of (lang, text) rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_lang: dict[str, Counter[bytes]] = {}
@@ -175,23 +183,81 @@ def learn(
         yield from cut()
 
     partial = rows.mapInArrow(count, "lang string, gram long, n long")
-    summed = materialize(partial.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "ppm-grams")
+    return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def learn(
+    docs: DataFrame, lang_col: str = "lang", text_col: str = "text", order: int = ORDER, max_nodes: int = MAX_NODES
+) -> ContextTrees | GramTable:
+    """Statistics from all rows with a language, all n-grams kept: trees if they
+    are ``max_nodes`` or fewer, else a table. No such row: no languages.
+
+    Every language is one index of a list made on the driver; the number of
+    languages is the number of distinct labels.
+    """
+    if not 1 <= order <= 6:
+        raise ValueError("order must be 1..6")
+    rows = docs.filter(F.col(lang_col).isNotNull()).select(lang_col, text_col)
+    summed = materialize(gram_counts(rows, order), "ppm-grams")
+    langs = sorted(r[0] for r in summed.select("lang").distinct().collect())
+    if summed.count() > max_nodes:
+        return GramTable(langs, order, summed, max_nodes)
+    kept = summed.toArrow()
+    index = {x: i for i, x in enumerate(langs)}
+    grams = zip(kept["lang"].to_pylist(), map(gram_bytes, kept["gram"].to_pylist()), kept["n"].to_pylist())
+    return ContextTrees(langs, [(index[a], g, n) for a, g, n in grams], order)
+
+
+def window_prices(grams: DataFrame, table: GramTable) -> DataFrame:
+    """(code, n, bits by language), written, of the windows among ``grams`` (gram,
+    n), which hold the ends of each of their n-grams too. An n-gram is priced from
+    its own count, its context and the price of its end; a row of these tables
+    meets at most 256 n-grams."""
+    of_gram = table.grams.groupBy("gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("ns"))
+    of_context = table.grams.groupBy("lang", F.shiftright("gram", 8).alias("context")).agg(F.struct(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).alias("c"))
+    of_context = of_context.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("cs"))
+    langs = F.array(*map(F.lit, table.langs))
+
+    def price(lang: Column, i: Column) -> Column:
+        c, n = F.try_element_at("cs", lang), F.try_element_at("ns", lang)
+        end, both = F.get("below", i), c["total"] + c["kinds"]
+        return F.when(c.isNull(), end).when(n.isNull(), F.log2(both / c["kinds"]) + end).otherwise(F.log2(both / n))
+
+    below, priced = None, []
+    for size in range(1, table.order + 2):
+        level = grams.filter((F.col("gram") >= 1 << 8 * (size - 1)) & (F.col("gram") < 1 << 8 * size))
+        level = level.join(of_gram, "gram", "left").withColumn("context", F.shiftright("gram", 8)).join(of_context, "context", "left")
+        if below is None:
+            level = level.withColumn("below", F.transform(langs, lambda _: F.lit(8.0)))
+        else:
+            ends = below.select(F.col("gram").alias("end"), F.col("bits").alias("below"))
+            level = level.withColumn("end", F.col("gram").bitwiseAND(F.lit((1 << 8 * (size - 1)) - 1))).join(ends, "end")
+        below = materialize(level.select("gram", "n", F.transform(langs, price).alias("bits")), "ppm-prices")
+        # a window of fewer than order + 1 bytes starts with the word's opening space
+        if size > table.order:
+            priced.append(below)
+        elif size > 1:
+            priced.append(below.filter(F.shiftright("gram", 8 * (size - 1)) == 32))
+    return reduce(DataFrame.union, priced).withColumnRenamed("gram", "code")
+
+
+def frequent_prices(prices: DataFrame, table: GramTable) -> tuple[np.ndarray, np.ndarray]:
+    """Codes, rising, and bits of the windows in the highest count classes."""
+    bound = min(table.max_nodes, MAX_PRICES // len(table.langs))
     at_least, taken = 0, 0
     level = F.floor(F.log2("n") * 8).cast("long")
-    for row in sorted(summed.groupBy(level.alias("l")).count().collect(), reverse=True):
-        if taken + row["count"] > max_nodes:
+    for row in sorted(prices.groupBy(level.alias("l")).count().collect(), reverse=True):
+        if taken + row["count"] > bound:
             at_least = row["l"] + 1
             break
         taken += row["count"]
-    kept = summed.filter(level >= at_least).toArrow()
-    langs = sorted(set(kept["lang"].to_pylist()))
-    index = {x: i for i, x in enumerate(langs)}
-    grams = zip(kept["lang"].to_pylist(), map(gram_bytes, kept["gram"].to_pylist()), kept["n"].to_pylist())
-    return ContextTrees(langs, [(index[a], g, n) for a, g, n in grams], order)
+    kept = prices.filter(level >= at_least).select("code", "bits").orderBy("code").toArrow()
+    bits = kept["bits"].combine_chunks().flatten().to_numpy() if kept.num_rows else np.zeros(0)
+    return kept["code"].to_numpy(), bits.reshape(-1, len(table.langs))
 
 
 def identify(
-    docs: DataFrame, trees: ContextTrees, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
+    docs: DataFrame, trees: ContextTrees | GramTable, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """One row per input row: the id, lang_pred and score, and the columns named in ``carry``.
 
@@ -199,6 +265,8 @@ def identify(
     its share of 2^-length over all languages. A text that is null, empty or
     has no letter, or trees without languages: ``und`` and 0.
     """
+    if isinstance(trees, GramTable):
+        return _identify_by_table(docs, trees, id_col, text_col, carry)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     schema = pa.schema([(id_col, arrow_type(docs, id_col)), ("lang_pred", pa.string()), ("score", pa.float64())] + [(c, arrow_type(docs, c)) for c in carry])
 
@@ -225,3 +293,84 @@ def identify(
         + [docs.schema[c] for c in carry]
     )
     return docs.select(id_col, text_col, *carry).mapInArrow(run, out)
+
+
+def _identify_by_table(docs: DataFrame, table: GramTable, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+    """``identify`` with the statistics in a table: one pass sums the broadcast
+    prices and lists the other windows, whose prices are joined and added."""
+    prices = window_prices(materialize(gram_counts(docs.select(F.lit("").alias("lang"), text_col), table.order).select("gram", "n"), "ppm-wanted"), table)
+    order, n_langs = table.order, len(table.langs)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent_prices(prices, table))
+    names = ("_row", "_letters", "_bits", "_code", "_times")
+    types = (pa.int64(), pa.bool_(), pa.list_(pa.float64()), pa.int64(), pa.int64())
+    schema = pa.schema([(c, arrow_type(docs, c)) for c in (id_col, *carry)] + list(zip(names, types)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, bits = shared.value
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for part in slices(batch, 1):
+                texts = part.column(1).to_pylist()
+                n = len(texts)
+                flat, bounds, words = index_words([words_of(t) for t in texts])
+                lengths = np.zeros((n, n_langs))
+                rows = np.arange(row, row + n)
+                row += n
+                tail = None
+                if words:
+                    codes, place = windows(words, order)
+                    at = np.searchsorted(known, codes)
+                    found = np.zeros(len(codes), dtype=bool)
+                    inside = at < len(known)
+                    found[inside] = known[at[inside]] == codes[inside]
+                    found &= place > 0  # the opening space is given
+                    costs = np.zeros((len(codes), n_langs))
+                    costs[found] = bits[at[found]]
+                    lengths = text_sums(np.add.reduceat(costs, np.flatnonzero(place == 0), axis=0)[flat], bounds)
+                    tail = _tail(codes, place, (place > 0) & ~found, flat, bounds, len(words))
+                letters = pa.array([k > 0 and has_letter(t) for k, t in zip(np.diff(bounds).tolist(), texts)], pa.bool_())
+                own = [pa.array(rows), letters, pa.array(list(lengths), pa.list_(pa.float64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *own], schema=schema)
+                if tail is not None and len(tail[0]):
+                    which, code, times = tail
+                    k = len(which)
+                    none = [pa.nulls(k, f.type) for f in list(schema)[: 1 + len(carry)]]
+                    more = [pa.array(rows[which]), pa.nulls(k, pa.bool_()), pa.nulls(k, types[2]), pa.array(code), pa.array(times)]
+                    yield pa.RecordBatch.from_arrays([*none, *more], schema=schema)
+
+    long = T.LongType()
+    kinds = (long, T.BooleanType(), T.ArrayType(T.DoubleType()), long, long)
+    out = T.StructType(
+        [T.StructField(c, docs.schema[c].dataType) for c in (id_col, *carry)] + [T.StructField(c, t) for c, t in zip(names, kinds)]
+    )
+    # written once, so that a row has one number in both uses
+    parts = materialize(docs.select(id_col, text_col, *carry).mapInArrow(run, out), "ppm-parts")
+    tail = parts.filter("_code is not null").select("_row", "_code", "_times").join(prices.select(F.col("code").alias("_code"), F.col("bits").alias("_more")), "_code")
+    sums = tail.groupBy("_row").agg(F.array(*(F.sum(F.get("_more", F.lit(i)) * F.col("_times")) for i in range(n_langs))).alias("_more"))
+    rows = parts.filter("_code is null").join(sums, "_row", "left")
+    rows = rows.withColumn("_bits", F.transform("_bits", lambda x, i: x + F.coalesce(F.get("_more", i), F.lit(0.0))))
+    best = F.array_min("_bits")
+    pred = F.get(F.array(*map(F.lit, table.langs)), (F.array_position("_bits", best) - 1).cast("int"))
+    share = F.aggregate("_bits", F.lit(0.0), lambda total, x: total + F.pow(F.lit(2.0), best - x))
+    return rows.select(
+        id_col,
+        F.when(F.col("_letters"), pred).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(F.col("_letters"), 1.0 / share).otherwise(F.lit(0.0)).alias("score"),
+        *carry,
+    )
+
+
+def _tail(codes: np.ndarray, place: np.ndarray, wanted: np.ndarray, flat: np.ndarray, bounds: np.ndarray, n_words: int) -> tuple[np.ndarray, ...]:
+    """(text, code, times) of the wanted windows of the words, by text."""
+    word = (np.cumsum(place == 0) - 1)[wanted]
+    distinct, code = np.unique(codes[wanted], return_inverse=True)
+    per_word = np.bincount(word, minlength=n_words)
+    first = np.cumsum(per_word) - per_word
+    text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    pairs, times = np.unique(text * n_words + flat, return_counts=True)
+    text, own = pairs // n_words, pairs % n_words
+    reps = per_word[own]
+    inside = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+    keys = np.repeat(text, reps) * max(1, len(distinct)) + code[np.repeat(first[own], reps) + inside]
+    keys, counts = _summed(keys, np.repeat(times, reps))
+    return keys // max(1, len(distinct)), distinct[keys % max(1, len(distinct))], counts

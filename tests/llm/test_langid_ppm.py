@@ -61,6 +61,23 @@ def test_code_lengths_and_verdicts(spark, frame, order):
     assert sorted([(r.doc_id, r.lang_pred, round(r.score, 6)) for r in got], key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("max_nodes", [1, 30])
+def test_more_ngrams_than_are_broadcast(spark, frame, max_nodes):
+    """No n-gram and no language is lost beyond the broadcast's bound."""
+    train = TRAIN + [("xx", "zq")]
+    docs = frame([(i, t) for i, (_, t) in enumerate(train)], lang=("string", [a for a, _ in train]))
+    texts = ["The thing!", "chats ÉTÉ", "q", "zq zq", "12 34", "", None, "東京", "the le", "th" * 500]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, "the cat"), (0, texts[0])]
+    asked = frame(rows).withColumnRenamed("row", "other")
+    table = langid_ppm.learn(docs, max_nodes=max_nodes)
+    assert table.langs == ["en", "fr", "xx"]
+    found = langid_ppm.identify(asked, table, carry=("other",)).collect()
+    whole = langid_ppm.identify(asked, langid_ppm.learn(docs), carry=("other",)).collect()
+    got, want = (sorted([(r.doc_id, r.lang_pred, round(r.score, 6), r.other) for r in x], key=str) for x in (found, whole))
+    assert got == want
+    assert (3, "xx") in [r[:2] for r in got]
+
+
 def test_no_languages(spark, frame):
     trees = langid_ppm.learn(frame([], lang=("string", [])))
     assert trees.langs == []
