@@ -38,6 +38,7 @@ HARMLESS = {"path", "file", "url", "uri", "name", "type", "id", "length", "len",
 PLACEHOLDER = re.compile(r"^(?:x+|\*+|\.+|changeme|example|placeholder|none|null|true|false|todo|test|your[_-].*|<.*>|\$\{.*\}|%.*%)$", re.IGNORECASE)
 MIN_LITERAL = 8
 MIN_SCORE = 6
+SCORED_CHARS = 4096  # of a joined value; all its literals are spans
 
 NAME = re.compile(r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=quote)\x20*(?::=|=>|=(?![=>])|:(?![:/]))\x20*""", re.ASCII)
 ATOM = re.compile(
@@ -47,6 +48,7 @@ PLUS = re.compile(r"\x20*\+\x20*")
 CASE = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z0-9]+", re.ASCII)
 
 Span = tuple[int, int]
+Parts = list  # the spans of a value's literals, and the Parts of constants joined to it
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -76,30 +78,32 @@ def value_score(value: str) -> int:
     return (2 if entropy >= 3.0 else 0) + (1 if kinds >= 2 else 0) + (1 if n >= 16 else 0)
 
 
-def assignments(text: str) -> Iterator[tuple[str, str, list[Span]]]:
-    """(name, value, spans of its literals) for each assignment, constants propagated."""
-    known: dict[str, tuple[str, list[Span]]] = {}
+def assignments(text: str) -> Iterator[tuple[str, str, Parts]]:
+    """(name, value, its parts) for each assignment, constants propagated. The
+    value is cut at SCORED_CHARS; the parts are whole, and shared between names."""
+    known: dict[str, tuple[str, Parts]] = {}
     at = 0
     while (m := NAME.search(text, at)) is not None:
         at = m.end()
-        value, spans, place = "", [], at
+        value, parts, place = "", [], at
         while (atom := ATOM.match(text, place)) is not None:
             kind = atom.lastgroup
             literal = atom.group(kind)
             if kind == "word" and literal in known:
-                more, where = known[literal]
+                more, part = known[literal]
             else:
-                more, where = literal, [(atom.start(kind), atom.end(kind))]
-            # a joined value stays bounded: what is longer than any secret is not kept
-            value, spans = (value + more)[:4096], (spans + where)[:64]
+                more, part = literal, (atom.start(kind), atom.end(kind))
+            if len(value) < SCORED_CHARS:
+                value = (value + more)[:SCORED_CHARS]
+            parts.append(part)
             at = place = atom.end()
             plus = PLUS.match(text, place)
             if plus is None:
                 break
             place = plus.end()
-        if spans:
-            known[m["name"]] = (value, spans)
-            yield m["name"], value, spans
+        if parts:
+            known[m["name"]] = (value, parts)
+            yield m["name"], value, parts
 
 
 def literal_spans(text: str) -> list[tuple[str, int, int]]:
@@ -107,10 +111,17 @@ def literal_spans(text: str) -> list[tuple[str, int, int]]:
     if "=" not in text and ":" not in text:
         return []
     found = set()
-    for name, value, spans in assignments(text):
+    reported: dict[int, Parts] = {}  # by identity, each walked through once
+    for name, value, parts in assignments(text):
         score = name_score(name)
         if score and score + value_score(value) >= MIN_SCORE:
-            found.update(("literal", a, b) for a, b in spans if b > a)
+            todo = [parts]
+            while todo:
+                own = todo.pop()
+                if id(own) not in reported:
+                    reported[id(own)] = own
+                    todo += [p for p in own if isinstance(p, list)]
+                    found.update(("literal", *p) for p in own if isinstance(p, tuple) and p[1] > p[0])
     return sorted(found)
 
 

@@ -67,6 +67,18 @@ def test_assignments_and_constants():
         assert literals(harmless) == []
 
 
+def test_every_literal_of_a_long_value():
+    pieces = [f"q{i}Zx{i % 7}" for i in range(200)]
+    joined = " + ".join(f'"{p}"' for p in pieces)
+    assert literals(f"db_password = {joined}") == pieces
+    assert literals(f"a = {joined}\nb = a + a\ndb_password = b") == pieces
+    lines = ['k0 = "Zx81kQ0pLm"', *(f'k{i} = k{i - 1} + "{p}"' for i, p in enumerate(pieces, 1)), "api_key = k200"]
+    assert literals("\n".join(lines)) == ["Zx81kQ0pLm", *pieces]
+    double = ['k0 = "Zx81kQ0pLm"', *(f"k{i} = k{i - 1} + k{i - 1}" for i in range(1, 80)), "api_key = k79"]
+    assert literals("\n".join(double)) == ["Zx81kQ0pLm"]
+    assert literals("db_password = " + " + ".join(f'"{c * 1000}Zx8"' for c in "abcdef")) == [f"{c * 1000}Zx8" for c in "abcdef"]
+
+
 def test_redact():
     text = "a password=abcdefghijkl z"
     assert secrets.redact(text, secrets.scan_text(text)[1]) == "a [secret] z"
