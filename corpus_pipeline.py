@@ -38,7 +38,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages in a twentieth of their words or more."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -190,11 +190,13 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, list[bytes]]]]:
+def _blocks(items: DataFrame, id_col: str, text_col: str, unnamed: bool) -> Iterator[list[tuple[object, list[bytes]]]]:
     """The items in blocks of at most BLOCK_WORDS words (one item at least)."""
+    if not unnamed:
+        items = items.filter(F.col(id_col).isNotNull())
     block: list[tuple[object, list[bytes]]] = []
     size = 0
-    for item, text in items.filter(F.col(id_col).isNotNull()).select(id_col, text_col).toLocalIterator():
+    for item, text in items.select(id_col, text_col).toLocalIterator():
         words = words_of(text)
         if block and size + len(words) > BLOCK_WORDS:
             yield block
@@ -206,14 +208,14 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
 
 
 def find(
-    index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, item_col: str = "item_id", text_col: str = "text"
+    index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, item_col: str = "item_id", text_col: str = "text", unnamed: bool = False
 ) -> DataFrame | None:
     """Matches per document and item: shard, at (the document's place in its
     shard), item, spans (word positions from the document's start, end
     exclusive, joined where they touch). Null if there are no items.
 
-    Items with a null id and items without words match nothing; equal ids are
-    one item.
+    Items without words match nothing; equal ids are one item. Items with a
+    null id match nothing either, or if ``unnamed`` they are one item, null.
     """
     spark = index.sparkSession
     kind = arrow_type(items, item_col)
@@ -224,7 +226,7 @@ def find(
         + [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
     )
     parts = []
-    for block in _blocks(items, item_col, text_col):
+    for block in _blocks(items, item_col, text_col, unnamed):
         shared = spark.sparkContext.broadcast(Queries.of(block, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -264,6 +266,7 @@ def contamination(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
+    unnamed: bool = False,
 ) -> DataFrame:
     """One row per input row: the id, n_words, n_hit (words inside a match),
     items (sorted ids as text of the items found), contaminated (a hit, and one
@@ -271,13 +274,15 @@ def contamination(
 
     Null and empty texts have no words. Repeated rows and null ids are
     documents of their own. No items or no documents: nothing is hit.
+    ``unnamed``: passages of items with a null id are hits too, and are not in
+    ``items``; otherwise these items are left out.
     """
     index = build_index(docs, id_col, text_col)
     zipped = F.posexplode(F.arrays_zip("ids", "lengths"))
     every = index.select("shard", zipped.alias("at", "d")).select(
         "shard", F.col("at").cast("long").alias("at"), F.col("d.ids").alias("id"), F.col("d.lengths").alias("n_words")
     )
-    matches = find(index, items, window, slop, item_col, item_text_col)
+    matches = find(index, items, window, slop, item_col, item_text_col, unnamed)
     if matches is None:
         rows = every.select("id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
     else:

@@ -78,3 +78,12 @@ def test_empty_tables(spark, frame):
     assert (row.n_words, row.n_hit, row["items"], row.contaminated) == (2, 0, [], False)
     assert len(decontaminate.search(decontaminate.Shard.of([[]]), decontaminate.Queries.of([], 13))[0]) == 0
     assert np.array_equal(decontaminate.Shard.of([[b"a", b"b", b"a"]]).keys(), [0, 2, 4])
+
+
+def test_query_counts_passages_of_items_without_an_id(spark, tmp_path):
+    from liftlens.llm.queries import op9_decontaminate
+
+    spark.createDataFrame([(1, "a b c"), (2, "x a b y z"), (3, "z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, "a b"), (5, "y z")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted((r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in op9_decontaminate(spark, str(tmp_path)).collect())
+    assert got == [(1, 2, 0, True), (2, 4, 1, True), (3, 0, 0, False)]
