@@ -3,22 +3,27 @@
 URLs become sets of tokens. FP-growth mines token combinations from labelled
 URLs together with the label; combinations that reach a support and a
 confidence become block rules. Rules are looked up through an inverted index
-from one of their tokens (the rarest) to the rules, held as a literal map of a
-bounded number of rules, so judging takes no join and no shuffle.
+from one of their tokens (the rarest) to the rules, held as a literal map, or,
+beyond ``LITERAL_RULES`` rules, as one value that is sent to the tasks; judging
+takes no join and no shuffle.
 """
 
 from __future__ import annotations
 
+import json
+import zlib
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import drop_table, materialize
+
 MIN_SUPPORT = 0.002
 MIN_ROWS = 20
 MIN_CONFIDENCE = 0.6
-MAX_RULES = 500
+LITERAL_RULES = 500  # more of them are not written into the plan
 MAX_ITEMS = 10  # tokens of one URL that are mined; the rest is for matching only
 BLOCK_ITEM = "label=block"
 
@@ -119,15 +124,14 @@ def mine_rules(
     min_support: float = MIN_SUPPORT,
     min_rows: int = MIN_ROWS,
     min_confidence: float = MIN_CONFIDENCE,
-    max_rules: int = MAX_RULES,
 ) -> list[TokenRule]:
     """Block rules from rows with a token array and a boolean label.
 
     FP-growth over all labelled rows; a rule needs ``min_rows`` rows and
     ``min_support`` of all rows (blocked ones with all its tokens) and
     ``min_confidence``. A rule is dropped if a part of it is already a rule of
-    no lower confidence. ``max_rules`` is the size of the model. No labelled
-    row, or no combination that qualifies: no rules.
+    no lower confidence; all others are kept. No labelled row, or no combination
+    that qualifies: no rules.
     """
     baskets = labelled.filter(F.col(block_col).isNotNull() & F.col(tokens_col).isNotNull())
     total = baskets.count()
@@ -136,20 +140,38 @@ def mine_rules(
     label = F.when(F.col(block_col), F.array(F.lit(BLOCK_ITEM))).otherwise(F.array().cast("array<string>"))
     items = F.concat(F.slice(F.array_sort(tokens_col), 1, MAX_ITEMS), label)
     support = min(1.0, max(min_support, min_rows / total))
-    found = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(baskets.select(items.alias("items")))
-    sets = found.freqItemsets
-    seen = sets.filter(F.size("items") == 1).select(F.col("items")[0].alias("item"), "freq")
-    rules = found.associationRules.filter(F.col("consequent")[0] == BLOCK_ITEM)
-    best = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("antecedent"), F.array_join(F.array_sort("antecedent"), " ")).limit(max_rules).collect()
-    if not best:
-        return []
-    used = sorted({t for r in best for t in r["antecedent"]})
-    often = {r["item"]: r["freq"] for r in seen.filter(F.col("item").isin(used)).collect()}  # at most max_rules x MAX_ITEMS
-    kept: list[TokenRule] = []
-    for r in best:
-        tokens = sorted(r["antecedent"], key=lambda t: (often[t], t))
-        if not any(set(k.tokens) <= set(tokens) for k in kept):
-            kept.append(TokenRule(tuple(tokens), r["confidence"], round(r["support"] * total)))
+    found = FPGrowth(itemsCol="items", minSupport=support).fit(baskets.select(items.alias("items")))
+    sets = materialize(found.freqItemsets.select(F.array_sort("items").alias("tokens"), "freq"), "itemsets")
+    blocked = sets.filter(F.array_contains("tokens", BLOCK_ITEM) & (F.size("tokens") > 1))
+    blocked = blocked.select(F.array_remove("tokens", BLOCK_ITEM).alias("tokens"), F.col("freq").alias("support"))
+    rules = blocked.join(sets, "tokens").select("tokens", "support", (F.col("support") / F.col("freq")).alias("confidence"))
+    best = sorted(_irredundant(rules, min_confidence), key=lambda r: (-r["confidence"], -r["support"], len(r["tokens"]), r["tokens"]))
+    often = {r["tokens"][0]: r["freq"] for r in sets.filter(F.size("tokens") == 1).collect()}
+    return [TokenRule(tuple(sorted(r["tokens"], key=lambda t: (often[t], t))), r["confidence"], r["support"]) for r in best]
+
+
+def _irredundant(rules: DataFrame, min_confidence: float) -> list:
+    """The rules of ``min_confidence`` without a part of no lower confidence, of
+    (tokens, support, confidence) rows that have all parts of each row's tokens.
+    From single tokens on, each row takes the best confidence of a rule among its
+    parts from the parts that lack one token."""
+    rules = materialize(rules, "rules")
+    longest = rules.filter(F.col("confidence") >= min_confidence).agg(F.max(F.size("tokens"))).first()[0] or 0
+    kept, below = [], None
+    for size in range(1, longest + 1):
+        level = rules.filter(F.size("tokens") == size)
+        if below is None:
+            level = level.withColumn("part_best", F.lit(0.0))
+        else:
+            part = F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("part")
+            parts = level.select("tokens", part).join(below.select(F.col("tokens").alias("part"), "best"), "part")
+            level = level.join(parts.groupBy("tokens").agg(F.max("best").alias("part_best")), "tokens")
+        own = F.when(F.col("confidence") >= min_confidence, F.col("confidence")).otherwise(F.lit(0.0))
+        level = materialize(level.withColumn("best", F.greatest(own, "part_best")), "rules-level")
+        kept += level.filter((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("part_best"))).collect()
+        if below is not None:
+            drop_table(below)
+        below = level
     return kept
 
 
@@ -160,9 +182,17 @@ def matches(rules: list[TokenRule], tokens: Column) -> Column:
     by_key: dict[str, list[TokenRule]] = {}
     for r in rules:
         by_key.setdefault(r.tokens[0], []).append(r)
-    index = F.create_map(*(x for t, own in by_key.items() for x in (F.lit(t), F.array(*(F.array(*map(F.lit, r.tokens)) for r in own)))))
-    candidates = F.flatten(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(index, t), F.array())))
-    return F.exists(candidates, lambda need: F.size(F.array_except(need, tokens)) == 0)
+    if len(rules) <= LITERAL_RULES:
+        index = F.create_map(*(x for t, own in by_key.items() for x in (F.lit(t), F.array(*(F.array(*map(F.lit, r.tokens)) for r in own)))))
+        found = F.transform(tokens, lambda t: F.coalesce(F.try_element_at(index, t), F.array()))
+    else:
+        places: list[list[list[str]]] = [[] for _ in by_key]
+        for t, own in by_key.items():
+            places[zlib.crc32(t.encode()) % len(places)] += [list(r.tokens) for r in own]
+        # the planner reads this once; written as arrays, each rule would be a part of the plan
+        index = F.from_json(F.lit(json.dumps(places)), "array<array<array<string>>>")
+        found = F.transform(tokens, lambda t: F.get(index, (F.crc32(t.cast("binary")) % len(places)).cast("int")))
+    return F.exists(F.flatten(found), lambda need: F.size(F.array_except(need, tokens)) == 0)
 
 
 def label_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", label_id: str = "doc_id", url_col: str = "url") -> DataFrame:

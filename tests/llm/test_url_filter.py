@@ -58,3 +58,29 @@ def test_mined_rules_block(spark):
     assert url_filter.mine_rules(labelled.limit(0)) == []
     rare = labelled.filter(F.col("block")).limit(5)
     assert url_filter.mine_rules(rare, min_rows=20) == []
+
+
+def test_rules_behind_many_redundant_ones(spark, monkeypatch):
+    """Ten tokens that always block give 1023 combinations of confidence 1; a
+    weaker rule beside them is found and applied, literal or sent to the tasks."""
+    rows = [([f"path:a{k}" for k in range(10)], True)] * 60 + [(["host:weak"], i % 10 < 8) for i in range(50)] + [(["host:good"], False)] * 100
+    mined = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"))
+    assert [(r.tokens, r.confidence, r.support) for r in mined] == [((f"path:a{k}",), 1.0, 60) for k in range(10)] + [(("host:weak",), 0.8, 40)]
+    pages = spark.createDataFrame([(1, "http://weak/x"), (2, "http://good/a"), (3, "http://good/a7"), (4, None)], "page_id long, url string")
+    for literal in (500, 0):
+        monkeypatch.setattr(url_filter, "LITERAL_RULES", literal)
+        got = {r.page_id: r.token_match for r in url_filter.judge(pages, SITE_RULES, mined).collect()}
+        assert got == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_a_part_two_tokens_smaller_makes_a_rule_redundant(spark):
+    rows = [("a", True)] * 40 + [("ab", True)] * 10 + [("ab", False)] * 12 + [("abc", True)] * 30 + [("abc", False)] * 9 + [("d", False)] * 5
+    rows = [(list(t), b) for t, b in rows]
+    mined = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"))
+    counted = {}
+    for need in ("a", "b", "c", "ab", "ac", "bc", "abc"):
+        hit = [b for t, b in rows if set(need) <= set(t)]
+        if sum(hit) >= 20 and sum(hit) / len(hit) >= url_filter.MIN_CONFIDENCE:
+            counted[need] = sum(hit) / len(hit)
+    want = {n: c for n, c in counted.items() if not any(set(m) < set(n) and counted[m] >= c for m in counted)}
+    assert {"".join(sorted(r.tokens)): r.confidence for r in mined} == want
