@@ -11,8 +11,10 @@ takes no join and no shuffle.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from dataclasses import dataclass
+from itertools import product
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -24,7 +26,6 @@ MIN_SUPPORT = 0.002
 MIN_ROWS = 20
 MIN_CONFIDENCE = 0.6
 LITERAL_RULES = 500  # more of them are not written into the plan
-MAX_ITEMS = 10  # tokens of one URL that are mined; the rest is for matching only
 BLOCK_ITEM = "label=block"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -127,27 +128,47 @@ def mine_rules(
 ) -> list[TokenRule]:
     """Block rules from rows with a token array and a boolean label.
 
-    FP-growth over all labelled rows; a rule needs ``min_rows`` rows and
+    FP-growth over all tokens of all labelled rows. Tokens that are in the same
+    rows (those of a template) are mined as one and stand for each other in the
+    rules, so that only tokens that vary multiply the combinations. A rule needs ``min_rows`` rows and
     ``min_support`` of all rows (blocked ones with all its tokens) and
     ``min_confidence``. A rule is dropped if a part of it is already a rule of
     no lower confidence; all others are kept. No labelled row, or no combination
     that qualifies: no rules.
     """
     baskets = labelled.filter(F.col(block_col).isNotNull() & F.col(tokens_col).isNotNull())
+    baskets = materialize(baskets.select(F.array_sort(F.array_distinct(tokens_col)).alias("tokens"), F.col(block_col).alias("block")), "baskets")
     total = baskets.count()
     if total < max(1, min_rows):
         return []
-    label = F.when(F.col(block_col), F.array(F.lit(BLOCK_ITEM))).otherwise(F.array().cast("array<string>"))
-    items = F.concat(F.slice(F.array_sort(tokens_col), 1, MAX_ITEMS), label)
     support = min(1.0, max(min_support, min_rows / total))
+    alike = _alike(baskets, math.ceil(support * total))
+    if not alike:
+        return []
+    label = F.when(F.col("block"), F.array(F.lit(BLOCK_ITEM))).otherwise(F.array().cast("array<string>"))
+    items = F.concat(F.filter("tokens", lambda t: t.isin(list(alike))), label)
     found = FPGrowth(itemsCol="items", minSupport=support).fit(baskets.select(items.alias("items")))
     sets = materialize(found.freqItemsets.select(F.array_sort("items").alias("tokens"), "freq"), "itemsets")
     blocked = sets.filter(F.array_contains("tokens", BLOCK_ITEM) & (F.size("tokens") > 1))
     blocked = blocked.select(F.array_remove("tokens", BLOCK_ITEM).alias("tokens"), F.col("freq").alias("support"))
     rules = blocked.join(sets, "tokens").select("tokens", "support", (F.col("support") / F.col("freq")).alias("confidence"))
-    best = sorted(_irredundant(rules, min_confidence), key=lambda r: (-r["confidence"], -r["support"], len(r["tokens"]), r["tokens"]))
     often = {r["tokens"][0]: r["freq"] for r in sets.filter(F.size("tokens") == 1).collect()}
-    return [TokenRule(tuple(sorted(r["tokens"], key=lambda t: (often[t], t))), r["confidence"], r["support"]) for r in best]
+    found = []
+    for r in _irredundant(rules, min_confidence):
+        first = sorted(r["tokens"], key=lambda t: (often[t], t))
+        found += [TokenRule(tokens, r["confidence"], r["support"]) for tokens in product(*(alike[t] for t in first))]
+    return sorted(found, key=lambda r: (-r.confidence, -r.support, len(r.tokens), sorted(r.tokens)))
+
+
+def _alike(baskets: DataFrame, rows: int) -> dict[str, list[str]]:
+    """The tokens of at least ``rows`` baskets, by the first of those that are in
+    the same baskets. A basket has its share of ``rows``, so they are few."""
+    wide = "decimal(20,0)"
+    marks = [F.xxhash64(F.lit(i), "tokens").cast(wide).alias(f"h{i}") for i in range(2)]
+    each = baskets.select(F.explode("tokens").alias("token"), *marks)
+    often = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("h0").alias("s0"), F.sum("h1").alias("s1")).filter(F.col("n") >= rows)
+    groups = often.groupBy("n", "s0", "s1").agg(F.array_sort(F.collect_list("token")).alias("own")).collect()
+    return {r["own"][0]: r["own"] for r in groups}
 
 
 def _irredundant(rules: DataFrame, min_confidence: float) -> list:

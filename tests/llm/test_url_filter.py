@@ -84,3 +84,13 @@ def test_a_part_two_tokens_smaller_makes_a_rule_redundant(spark):
             counted[need] = sum(hit) / len(hit)
     want = {n: c for n, c in counted.items() if not any(set(m) < set(n) and counted[m] >= c for m in counted)}
     assert {"".join(sorted(r.tokens)): r.confidence for r in mined} == want
+
+
+def test_all_tokens_of_long_urls_are_mined(spark):
+    """A template of 30 tokens, with the one that blocks last in the alphabet."""
+    template = [f"path:t{k:02d}" for k in range(30)]
+    rows = [(template + (["query:zz"] if i % 3 else []), i % 3 > 0) for i in range(90)] + [(["path:t00", "path:x"], False)] * 30
+    mined = url_filter.mine_rules(spark.createDataFrame(rows, "tokens array<string>, block boolean"))
+    # tokens of a template stand for each other: 29 are in the same rows, 60 of 90 of which block
+    want = [(("query:zz",), 1.0, 60)] + [((t,), 60 / 90, 60) for t in template[1:]]
+    assert [(r.tokens, r.confidence, r.support) for r in mined] == want
