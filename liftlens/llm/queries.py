@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hmm_lm, langid_ppm, maglev, near_dup, packing, quality, secrets, url_filter, warc
+from . import decontaminate, hmm_lm, langid_ppm, lemp, maglev, maxscore, near_dup, packing, quality, secrets, shared_terms, url_filter, vectors, warc
 from .common import id_crc, materialize, shared_path, table
 from .url_filter import SiteRule
 
@@ -120,6 +120,21 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.integer_vectors(table(spark, sf_dir, "embeddings"))
+    return maxscore.top_k(maxscore.build_index(found), found.filter(F.col("id") % 50 == 0), 5)
+
+
+def op12_shared_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_terms.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
+def op13_lemp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = vectors.integer_vectors(table(spark, sf_dir, "embeddings"), carry={"label": label})
+    return lemp.hard_negatives(found, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -133,5 +148,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_decontaminate,
         op10_secrets,
+        op11_maxscore,
+        op12_shared_terms,
+        op13_lemp,
     )
 }
