@@ -72,5 +72,6 @@ def compare_two_models(scores: DataFrame, model1_tid: str, model2_tid: str, star
     """``(overlap by decile, overlap by band, correlation)`` frames."""
     p = _params((0,), start_date, end_date, (model1_tid, model2_tid))
     pairs = overlap.best_score_pairs(scores, p, model1_tid, model2_tid)
-    cells = overlap.overlap_by_decile(pairs)
-    return cells, overlap.overlap_by_band(cells), overlap.score_correlation(pairs)
+    state = overlap.overlap_state(pairs)
+    cells = overlap.overlap_by_decile(state)
+    return cells, overlap.overlap_by_band(cells), overlap.score_correlation(state)

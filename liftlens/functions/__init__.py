@@ -9,6 +9,7 @@ from liftlens.functions.columns import (
     percent_label,
     user_id,
 )
+from liftlens.functions.labels import number_text, two_digits
 from liftlens.functions.stats import (
     erfc,
     pearson,
@@ -23,7 +24,9 @@ __all__ = [
     "ctr_percent",
     "ctr_percent_safe",
     "in_window",
+    "number_text",
     "percent_label",
+    "two_digits",
     "user_id",
     "erfc",
     "pearson",

@@ -6,30 +6,27 @@ click with equal serve keys and user id. An impression with k matching clicks
 therefore yields max(k, 1) joined rows, each counting one impression, and k
 clicks; a NULL key never matches; clicks without an impression are dropped.
 
-Scale design: the join is never materialised pair by pair. Clicks are first
-counted per serve key (a two-phase aggregate), so the join meets at most one
-click row per key, and the user-day sums are rebuilt as
-``n_imps * coalesce(k, 1)`` impressions and ``n_imps * coalesce(k, 0)`` clicks.
-When a size check proves the click side small, its counts are broadcast and
-impressions are never shuffled before the user-day partial sums. Otherwise
-impressions are counted per (serve key, day) map-side before their shuffle, so
-a hot key (a third of all rows on one serve, or copies of one row) collapses
-to one row per map task.
+Scale design: no join operator and no pair rows. Impressions and clicks go into
+one map-side aggregate as a tagged union, so copies of a row collapse before the
+only exchange of the impressions. An impression keeps its serve keys there only
+if a click may have them, which a Bloom filter of fixed size over the click keys
+decides; all others are counted by user-day right away, so what crosses the
+network is one row per task and user-day, plus one per serve that was clicked
+(or let through by chance, which costs work and changes nothing). Only rows with
+serve keys are then brought together per serve, to read the number of clicks k;
+their sums are ``n_imps * max(k, 1)`` impressions and ``n_imps * k`` clicks.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from liftlens.constants import SERVE_KEYS
 from liftlens.functions.columns import in_window, user_id
+from liftlens.operators.prefilter import FILTER_WORDS, mark_listed
 from liftlens.params import Params
 
-_CLICK_PREFIX = "c_"
-
 
 # Id lists up to this length are inlined as ``IN`` literals (pushed into the
 # Parquet scan); longer ones become a left-semi join with a broadcast frame of
@@ -77,42 +74,52 @@ def clicks_filtered(clicks: DataFrame, p: Params) -> DataFrame:
     return filter_log(clicks, p).select(*SERVE_KEYS, "logdate", "xid", F.lit(1).alias("clicks"))
 
 
-def match_condition() -> Column:
-    """Equality of every serve key and the user id between an impression row
-    and a click-count row (``c_``-prefixed); NULL never matches."""
-    pairs = [(F.col(k), F.col(_CLICK_PREFIX + k)) for k in SERVE_KEYS]
-    pairs.append((F.col("xid_imp"), F.col(_CLICK_PREFIX + "xid")))
-    return reduce(lambda acc, c: acc & c, (a == b for a, b in pairs))
-
-
-def click_counts(clicks_f: DataFrame) -> DataFrame:
-    """Clicks per (serve keys, user); keys renamed with a ``c_`` prefix."""
-    keys = [*SERVE_KEYS, "xid"]
-    return clicks_f.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_clicks")).select(
-        *[F.col(k).alias(_CLICK_PREFIX + k) for k in keys], "n_clicks"
+def _typed_as(log: DataFrame, column: str, like: DataFrame, other: str) -> Column:
+    """``column`` in the type that ``like`` has for it; a value that type cannot
+    hold equals none of its values and becomes NULL."""
+    kind = like.schema[other].dataType
+    return F.col(column) if log.schema[column].dataType == kind else F.col(column).try_cast(kind)
+
+
+def serve_counts(imps_f: DataFrame, clicks_f: DataFrame, filter_words: int = FILTER_WORDS) -> DataFrame:
+    """``xid_imp, date, serve, n_imps, n_clicks, keyed``: both logs in one map-side
+    aggregate. ``serve`` is NULL for impressions that no click can match; clicks
+    have a ``serve`` and the same early ``date``. A NULL among the keys never matches."""
+    clicks = clicks_f.select(
+        *(_typed_as(clicks_f, k, imps_f, k).alias(k) for k in SERVE_KEYS), _typed_as(clicks_f, "xid", imps_f, "xid_imp").alias("xid_imp")
+    ).dropna()
+    serve = F.struct(*SERVE_KEYS)
+    marked = mark_listed(imps_f, clicks, [*SERVE_KEYS, "xid_imp"], "_clicked", filter_words)
+    imps = marked.select("xid_imp", "date", F.when(F.col("_clicked"), serve).alias("serve"), F.lit(1).alias("imp"), F.lit(0).alias("click"))
+    no_day = F.lit("0001-01-01").cast(imps_f.schema["date"].dataType)  # not NULL, so that a filter on dates keeps the clicks
+    clks = clicks.select("xid_imp", no_day.alias("date"), serve.alias("serve"), F.lit(0).alias("imp"), F.lit(1).alias("click"))
+    return imps.unionByName(clks).groupBy("xid_imp", "date", "serve").agg(
+        F.sum("imp").alias("n_imps"), F.sum("click").alias("n_clicks"), F.max(F.col("serve").isNotNull()).alias("keyed")
     )
 
 
-def impression_counts(imps_f: DataFrame) -> DataFrame:
-    """Impressions per (serve keys, user, day)."""
-    return imps_f.groupBy(*SERVE_KEYS, "xid_imp", "date").agg(F.count(F.lit(1)).alias("n_imps"))
-
-
-def rollup_user_day(imps_f: DataFrame, clicks_f: DataFrame) -> DataFrame:
+def rollup_user_day(imps_f: DataFrame, clicks_f: DataFrame, filter_words: int = FILTER_WORDS) -> DataFrame:
     """Impressions and clicks per user-day: ``xid_imp, date, impressions, clicks``.
 
     Equal to summing the left outer join of impressions with clicks on all
     serve keys and the user id (see module doc), without emitting its pairs.
 
-    One plan at any size, and no job while it is built: impressions are counted
-    per (serve key, day) map-side, so that hot copies collapse, and meet the
-    click counts of their key. Spark turns the join into a broadcast one where
-    the click counts turn out small at run time.
+    One plan at any size, and no job while it is built. The two branches are told
+    apart by outputs of the aggregate, so both read the same exchange. A serve's
+    rows are its clicks and one row per day, so no window grows with the log.
     """
-    joined = impression_counts(imps_f).join(click_counts(clicks_f), match_condition(), "left")
-    return joined.groupBy("xid_imp", "date").agg(
-        F.sum(F.col("n_imps") * F.coalesce(F.col("n_clicks"), F.lit(1))).alias("impressions"),
-        F.sum(F.col("n_imps") * F.coalesce(F.col("n_clicks"), F.lit(0))).alias("clicks"),
+    counts = serve_counts(imps_f, clicks_f, filter_words)
+    alone = counts.filter(~F.col("keyed")).select("xid_imp", "date", F.col("n_imps").alias("impressions"), F.col("n_clicks").alias("clicks"))
+    k = F.sum("n_clicks").over(Window.partitionBy("xid_imp", "serve"))
+    served = counts.filter("keyed").withColumn("k", k).filter("n_imps > 0")
+    matched = served.select(
+        "xid_imp",
+        "date",
+        (F.col("n_imps") * F.greatest("k", F.lit(1))).alias("impressions"),
+        (F.col("n_imps") * F.col("k")).alias("clicks"),
+    )
+    return alone.unionByName(matched).groupBy("xid_imp", "date").agg(
+        F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks")
     )
 
 

@@ -10,25 +10,31 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from liftlens.constants import BANDS, CTR_PERCENT_COLUMN, DECILES
 from liftlens.functions.columns import band, count_label, ctr_percent, ctr_percent_safe
 from liftlens.functions.columns import in_window
+from liftlens.functions.labels import two_digits
+from liftlens.operators.prefilter import FILTER_WORDS, mark_listed
 from liftlens.params import Params
 
 
-def prepare_scores(scores: DataFrame, p: Params, models=None) -> DataFrame:
+def prepare_scores(scores: DataFrame, p: Params, models=None, users: DataFrame | None = None, filter_words: int = FILTER_WORDS) -> DataFrame:
     """Score rows of ``models`` inside the date window, exact duplicate rows
     removed (rows that differ in any column, e.g. only in ``score``, stay).
 
     The distinct is a two-phase aggregate: copies collapse map-side before the
-    shuffle, so a row repeated a billion times costs one row per map task.
+    shuffle, so a row repeated a billion times costs one row per map task. With
+    ``users`` (user-days), scores of other users are dropped at the scan by a
+    filter of fixed size; it may let some through, which no user-day meets.
     """
     models = list(models if models is not None else p.models)
-    return scores.filter(
-        in_window("date", p) & F.col("tid").isin(models)
-    ).dropDuplicates()
+    kept = scores.filter(in_window("date", p) & F.col("tid").isin(models))
+    if users is not None:
+        kind = scores.schema["xid"].dataType
+        exposed = users.select(F.col("xid_imp").try_cast(kind).alias("xid"))
+        kept = mark_listed(kept, exposed, ["xid"], "_exposed", filter_words).filter("_exposed").drop("_exposed")
+    return kept.dropDuplicates()
 
 
 def _models_frame(spark: SparkSession, models) -> DataFrame:
@@ -36,20 +42,36 @@ def _models_frame(spark: SparkSession, models) -> DataFrame:
     return spark.createDataFrame([(m,) for m in distinct], "model string")
 
 
-def score_counts(scores_dedup: DataFrame) -> DataFrame:
-    """Distinct score rows per ``(xid, date, tid, decile)`` as ``n_rows``.
+# Deciles with a counter of their own; slot 0 is a missing decile.
+SLOTS = (None, *DECILES)
 
-    Counting before the join bounds its output: a user-day meets at most one
-    row per (model, decile), however many distinct scores the table holds for
-    it. The count is a two-phase aggregate, so even a placeholder user id that
-    carries a third of all score rows collapses map-side before any shuffle;
-    only the small counted frame is then hash-partitioned on ``(xid, date)``
-    for the join, whose user-day side keeps its own partitioning.
+
+def score_counts(scores_dedup: DataFrame, models) -> DataFrame:
+    """One row per ``(s_xid, s_date)``: ``n_<model>_<slot>`` counts the distinct
+    score rows of a model and decile (slot 0: no decile), ``n_<model>`` all of the
+    model's. ``models`` are positions in the list of requested ids.
+
+    Counters are conditional aggregates, so a row is bounded by models x deciles
+    and a placeholder user id with a third of all score rows collapses map-side
+    into one row per task before its only shuffle.
     """
-    return (
-        scores_dedup.groupBy(F.col("xid").alias("s_xid"), F.col("date").alias("s_date"), "tid", "decile")
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-    )
+    counters = []
+    for i, m in enumerate(models):
+        mine = f"tid = {_id(m, scores_dedup)}"
+        counters.append(F.expr(f"count_if({mine})").alias(f"n_{i}"))
+        for j, d in enumerate(SLOTS):
+            counters.append(F.expr(f"count_if({mine} and decile {'is null' if d is None else f'= {d}'})").alias(f"n_{i}_{j}"))
+    return scores_dedup.groupBy(F.col("xid").alias("s_xid"), F.col("date").alias("s_date")).agg(*counters)
+
+
+def _text(value: str) -> str:
+    """A SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _id(model: str, scores: DataFrame) -> str:
+    """A requested id as a value of the id column; NULL if it cannot be one."""
+    return f"try_cast({_text(model)} as {scores.schema['tid'].dataType.simpleString()})"
 
 
 def decile_sums(user_days: DataFrame, scores_dedup: DataFrame, models) -> DataFrame:
@@ -62,48 +84,36 @@ def decile_sums(user_days: DataFrame, scores_dedup: DataFrame, models) -> DataFr
     in one pass. A user-day may come in several rows (the rollups of several
     campaigns, say); they are summed first. Requested ids are compared as
     values of the type of ``tid`` and named as requested.
+
+    User-days meet their score counters one to one. Deciles outside 1 to 10, which
+    have no counter, are counted by value in a branch of their own, whose
+    condition reaches the score scan; it is empty on regular scores.
     """
     models = list(dict.fromkeys(models))
-    tid_type = scores_dedup.schema["tid"].dataType
-    s = score_counts(scores_dedup)
-    model = F.coalesce(*[F.when(F.col("tid") == F.lit(m).try_cast(tid_type), F.lit(m)) for m in models])
     user_days = user_days.groupBy("xid_imp", "date").agg(
         F.sum("impressions").alias("impressions"), F.sum("clicks").alias("clicks")
     )
     # xid first, then date: the key order of the user-day grouping.
-    joined = user_days.join(
-        s, (F.col("xid_imp") == F.col("s_xid")) & (F.col("date") == F.col("s_date")), "left"
-    )
-    hit = F.struct(
-        model.alias("model"),
-        F.col("tid").alias("tid"),
-        F.col("decile").alias("decile"),
-        F.col("n_rows").alias("n_rows"),
-    )
-    # Grouping by the user-day key keeps the join's partitioning (no shuffle).
-    # Both lists are bounded by models x deciles, never by the data volume.
-    per_day = joined.groupBy("xid_imp", "date").agg(
-        F.max("impressions").alias("impressions"),
-        F.max("clicks").alias("clicks"),
-        F.collect_list(F.when(F.col("tid").isNotNull(), hit)).alias("hits"),
-        F.collect_set(model).alias("seen"),
-    )
-    wanted = F.array(*[F.lit(m) for m in models])
-    missing = F.transform(
-        F.array_except(wanted, F.col("seen")),
-        lambda m: F.struct(
-            m.alias("model"),
-            F.lit(None).cast(tid_type).alias("tid"),
-            F.lit(None).cast(T.IntegerType()).alias("decile"),
-            F.lit(1).cast("bigint").alias("n_rows"),
-        ),
-    )
-    rows = per_day.select("impressions", "clicks", F.explode(F.concat("hits", missing)).alias("r"))
-    return rows.groupBy(
-        F.col("r.model").alias("model"), F.col("r.tid").alias("tid"), F.col("r.decile").alias("decile")
-    ).agg(
-        F.sum(F.col("impressions") * F.col("r.n_rows")).alias("impressions"),
-        F.sum(F.col("clicks") * F.col("r.n_rows")).alias("clicks"),
+    meets = (F.col("xid_imp") == F.col("s_xid")) & (F.col("date") == F.col("s_date"))
+    joined = user_days.join(score_counts(scores_dedup, models), meets, "left")
+    kinds = {c: scores_dedup.schema[c].dataType.simpleString() for c in ("tid", "decile")}
+
+    def cell(model: str, tid: str, decile, n: str) -> str:
+        decile = "null" if decile is None else decile
+        return f"named_struct('model', {_text(model)}, 'tid', {tid}, 'decile', cast({decile} as {kinds['decile']}), 'n_rows', {n})"
+
+    cells = []
+    for i, m in enumerate(models):
+        cells.append(cell(m, f"cast(null as {kinds['tid']})", None, f"if(coalesce(n_{i}, 0) = 0, 1L, 0L)"))  # not scored
+        cells += [cell(m, _id(m, scores_dedup), d, f"n_{i}_{j}") for j, d in enumerate(SLOTS)]
+    counted = joined.selectExpr("impressions", "clicks", f"inline(filter(array({', '.join(cells)}), c -> c.n_rows > 0))")
+    other = scores_dedup.filter(~F.col("decile").isin(list(DECILES)))
+    other = other.groupBy(F.col("xid").alias("s_xid"), F.col("date").alias("s_date"), "tid", "decile").agg(F.count(F.lit(1)).alias("n_rows"))
+    asked = ", ".join(f"named_struct('model', {_text(m)}, 'of', {_id(m, scores_dedup)})" for m in models)
+    met = user_days.join(other, meets).selectExpr("impressions", "clicks", "tid", "decile", "n_rows", f"inline(filter(array({asked}), a -> a.of = tid))")
+    rows = counted.union(met.select(*counted.columns))
+    return rows.groupBy("model", "tid", "decile").agg(
+        F.expr("sum(impressions * n_rows)").alias("impressions"), F.expr("sum(clicks * n_rows)").alias("clicks")
     )
 
 
@@ -134,8 +144,8 @@ def _dense(frame: DataFrame, spine: DataFrame, key: str) -> DataFrame:
         F.coalesce(F.col("clicks"), F.lit(0)).cast("bigint").alias("clicks"),
         ctr_percent_safe().alias("ctr"),
     )
-    # Heatmap cell text: the two-decimal CTR with a percent sign.
-    return dense.withColumn("ctr_label", F.concat(F.format_number("ctr", 2), F.lit(" %")))
+    # Heatmap cell text: the CTR with two significant digits and a percent sign.
+    return dense.withColumn("ctr_label", F.concat(two_digits("ctr"), F.lit(" %")))
 
 
 def ctr_by_decile_dense(decile_frame: DataFrame, models) -> DataFrame:
@@ -158,22 +168,31 @@ def ctr_by_band_dense(band_frame: DataFrame, models) -> DataFrame:
     return _dense(frame, spine, "DecileGroup")
 
 
-def _report(frame: DataFrame, key: str) -> DataFrame:
+def _report(frame: DataFrame, key: str, models) -> DataFrame:
+    """A range-partitioned sort, so that a report of any number of models is
+    written by several tasks; ``model_no`` and the key hold the order, which files
+    and readers need not."""
+    model_no = None
+    for n, m in enumerate(dict.fromkeys(models), start=1):
+        here = F.col("model") == F.lit(m)
+        model_no = F.when(here, F.lit(n)) if model_no is None else model_no.when(here, F.lit(n))
     return frame.select(
+        model_no.alias("model_no"),
         "model",
         key,
         count_label("impressions").alias("impressions"),
         count_label("clicks").alias("clicks"),
         F.col("ctr").alias(CTR_PERCENT_COLUMN),
-    ).coalesce(1).sortWithinPartitions("model", key)  # at most ~11 rows per model: one sorted partition
+    ).orderBy("model_no", key)
 
 
-def ctr_by_decile_report(decile_frame: DataFrame) -> DataFrame:
-    """Display form: ``model, decile, impressions, clicks, ctr %`` with
-    thousands separators, ``tid`` dropped, ordered by decile (unscored first)."""
-    return _report(decile_frame, "decile")
+def ctr_by_decile_report(decile_frame: DataFrame, models) -> DataFrame:
+    """Display form: ``model_no, model, decile, impressions, clicks, ctr %`` with
+    thousands separators, ``tid`` dropped, ordered by the place of the model in
+    ``models`` and by decile (unscored first)."""
+    return _report(decile_frame, "decile", models)
 
 
-def ctr_by_band_report(band_frame: DataFrame) -> DataFrame:
-    """Display form of the band table, ordered by band."""
-    return _report(band_frame, "DecileGroup")
+def ctr_by_band_report(band_frame: DataFrame, models) -> DataFrame:
+    """Display form of the band table, ordered by model and band."""
+    return _report(band_frame, "DecileGroup", models)

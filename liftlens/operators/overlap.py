@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from liftlens.constants import BANDS, CORRELATION_TEXT, DECILES
 from liftlens.functions.columns import band, count_label, percent_label
-from liftlens.functions.stats import pearson
 from liftlens.functions.columns import in_window
+from liftlens.functions.labels import number_text
 from liftlens.params import Params
 
 
@@ -60,9 +60,64 @@ def best_score_pairs(scores: DataFrame, p: Params, model1: str, model2: str) ->
     )
 
 
-def overlap_by_decile(pairs: DataFrame) -> DataFrame:
-    """Users per (model 1 decile, model 2 decile); only non-empty cells."""
-    return pairs.groupBy("tid1Decile", "tid2Decile").agg(F.count(F.lit(1)).alias("count"))
+_STATE = ("count", "mean1", "mean2", "square1", "square2", "product", "least1", "most1", "least2", "most2")
+
+
+def overlap_state(pairs: DataFrame) -> DataFrame:
+    """What the overlap reports need, per (model 1 decile, model 2 decile): the
+    users, and of the two scores (a missing one counting as 0) the means, the sums
+    of squared deviations and of their product, the least and the greatest.
+
+    At most 121 rows, however many users. Rows of several states over different
+    users (days, regions) can be put together and merged, see :func:`merge_state`.
+    """
+    x, y = (F.coalesce(c, F.lit(0.0)) for c in ("tid1Score", "tid2Score"))
+    n = F.count(F.lit(1))
+    return pairs.groupBy("tid1Decile", "tid2Decile").agg(
+        n.alias("count"),
+        F.avg(x).alias("mean1"),
+        F.avg(y).alias("mean2"),
+        (F.var_pop(x) * n).alias("square1"),
+        (F.var_pop(y) * n).alias("square2"),
+        (F.covar_pop(x, y) * n).alias("product"),
+        F.min(x).alias("least1"),
+        F.max(x).alias("most1"),
+        F.min(y).alias("least2"),
+        F.max(y).alias("most2"),
+    )
+
+
+def merge_state(state: DataFrame, *keys: str) -> DataFrame:
+    """The state of all rows with equal ``keys`` (all rows, without keys): counts
+    are added, means weighted, and the sums of deviations moved to the common
+    mean, so nothing is lost by cancellation. Works on a few rows per state."""
+    of = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    total = F.sum("count").over(of)
+    moved = state.select(
+        *keys,
+        *_STATE,
+        (F.sum(F.col("mean1") * F.col("count")).over(of) / total).alias("_m1"),
+        (F.sum(F.col("mean2") * F.col("count")).over(of) / total).alias("_m2"),
+    )
+    d1, d2 = F.col("mean1") - F.col("_m1"), F.col("mean2") - F.col("_m2")
+    return moved.groupBy(*keys).agg(
+        F.coalesce(F.sum("count"), F.lit(0)).cast("bigint").alias("count"),
+        F.max("_m1").alias("mean1"),
+        F.max("_m2").alias("mean2"),
+        F.sum(F.col("square1") + F.col("count") * d1 * d1).alias("square1"),
+        F.sum(F.col("square2") + F.col("count") * d2 * d2).alias("square2"),
+        F.sum(F.col("product") + F.col("count") * d1 * d2).alias("product"),
+        F.min("least1").alias("least1"),
+        F.max("most1").alias("most1"),
+        F.min("least2").alias("least2"),
+        F.max("most2").alias("most2"),
+    )
+
+
+def overlap_by_decile(state: DataFrame) -> DataFrame:
+    """Users per (model 1 decile, model 2 decile); only non-empty cells. Takes an
+    :func:`overlap_state`, of one or of several parts of the users."""
+    return state.groupBy("tid1Decile", "tid2Decile").agg(F.sum("count").alias("count"))
 
 
 def overlap_by_band(decile_cells: DataFrame) -> DataFrame:
@@ -78,13 +133,13 @@ def overlap_by_band(decile_cells: DataFrame) -> DataFrame:
     )
 
 
-def score_correlation(pairs: DataFrame) -> DataFrame:
+def score_correlation(state: DataFrame) -> DataFrame:
     """One row: ``n_users`` scored by both models and the Pearson correlation
-    of their best scores, a missing score counting as 0."""
-    return pairs.agg(
-        F.count(F.lit(1)).alias("n_users"),
-        pearson(F.coalesce("tid1Score", F.lit(0.0)), F.coalesce("tid2Score", F.lit(0.0))).alias("correlation"),
-    )
+    of their best scores, a missing score counting as 0, from an
+    :func:`overlap_state`. NULL for fewer than two users or a constant score."""
+    varies = (F.col("least1") < F.col("most1")) & (F.col("least2") < F.col("most2"))
+    correlation = F.try_divide(F.col("product"), F.sqrt("square1") * F.sqrt("square2"))
+    return merge_state(state).select(F.col("count").alias("n_users"), F.when(varies, correlation).alias("correlation"))
 
 
 def _matrix(spark: SparkSession, cells: DataFrame, row: str, col: str, values) -> DataFrame:
@@ -130,5 +185,4 @@ def overlap_decile_wide(decile_matrix: DataFrame) -> DataFrame:
 
 def with_sentence(correlation: DataFrame) -> DataFrame:
     """Adds the report's sentence about the ``correlation`` column."""
-    text = F.coalesce(F.col("correlation").cast("string"), F.lit("nan"))
-    return correlation.withColumn("correlation_text", F.concat(F.lit(CORRELATION_TEXT), text))
+    return correlation.withColumn("correlation_text", F.concat(F.lit(CORRELATION_TEXT), number_text("correlation")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from liftlens.constants import ALPHA_TEXT, BAND_HIGH, P_VALUE_TEXT
+from liftlens.functions.labels import number_text
 from liftlens.functions.stats import two_proportion_z, two_sided_p_value, verdict
 
 
@@ -48,7 +49,7 @@ def with_sentences(result: DataFrame) -> DataFrame:
     """Adds the report's sentences about ``p_value`` and ``alpha``."""
     return result.withColumns(
         {
-            "p_value_text": F.concat(F.lit(P_VALUE_TEXT), F.coalesce(F.col("p_value").cast("string"), F.lit("nan"))),
-            "alpha_text": F.concat(F.lit(ALPHA_TEXT), F.col("alpha").cast("string")),
+            "p_value_text": F.concat(F.lit(P_VALUE_TEXT), number_text("p_value")),
+            "alpha_text": F.concat(F.lit(ALPHA_TEXT), number_text("alpha")),
         }
     )

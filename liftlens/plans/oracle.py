@@ -14,10 +14,12 @@ NULLs sort first where order matters, and ``erfc`` is its power series.
 from __future__ import annotations
 
 from liftlens.constants import (
+    ALPHA_TEXT,
     BAND_HIGH,
     BAND_LOW,
     BAND_MEDIUM,
     BAND_UNSCORED,
+    CORRELATION_TEXT,
     CTR_PERCENT_COLUMN,
     HIGH_MAX_DECILE,
     LOW_MIN_DECILE,
@@ -25,6 +27,7 @@ from liftlens.constants import (
     MEDIUM_MIN_DECILE,
     MODEL_TITLE_PREFIX,
     ORDER_NAME_COLUMN,
+    P_VALUE_TEXT,
     SERVE_KEYS,
     USER_ID_KEY,
     VERDICT_NOT_REJECTED,
@@ -175,6 +178,7 @@ def queries_sql(p: Params) -> dict[str, str]:
     models_values = "(values " + ", ".join(f"({_lit(m)})" for m in dict.fromkeys(p.models)) + ") m(model)"
     ctr_cols = f"tid, decile, impressions, clicks, {_ctr('clicks', 'impressions')} as ctr"
     band_cols = f"tid, DecileGroup, impressions, clicks, {_ctr('clicks', 'impressions')} as ctr"
+    number = "case model " + " ".join(f"when {_lit(m)} then {n}" for n, m in enumerate(dict.fromkeys(p.models), start=1)) + " end as model_no"
     z = (
         "(c1 * 1.0 / n1 - c2 * 1.0 / n2) / nullif(sqrt(((c1 + c2) * 1.0 / (n1 + n2)) * "
         "(1 - (c1 + c2) * 1.0 / (n1 + n2)) * (1.0 / n1 + 1.0 / n2)), 0)"
@@ -182,14 +186,21 @@ def queries_sql(p: Params) -> dict[str, str]:
     def h(i):
         return f"(select {{c}} from band{i} where DecileGroup = '{BAND_HIGH}' and tid is not null)"
 
+    z_test = f"""{pre},
+hc as (select {h(1).format(c='clicks')} as c1, {h(1).format(c='impressions')} as n1,
+              {h(2).format(c='clicks')} as c2, {h(2).format(c='impressions')} as n2),
+zs as (select *, {z} as zv from hc),
+ps as (select *, {_erfc('abs(zv) / sqrt(2)')} as pv from zs)"""
+    verdict = f"case when pv < {p.alpha} then '{VERDICT_REJECTED}' else '{VERDICT_NOT_REJECTED}' end"
+    both_scores = "(select *, coalesce(tid1Score, 0) as a, coalesce(tid2Score, 0) as b from pairs)"
+    correlation = _round("covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0)", STAT_DIGITS)
+
     q = {
         "impressions_filtered": f"{pre}\nselect * from fi",
         "impressions_line_items": f"{pre_li}\nselect * from fi",
         "clicks_filtered": f"{pre}\nselect * from fc",
         "clicks_impressions_by_user_day": f"{pre}\nselect * from ud",
         "clicks_impressions_by_user_day_line_items": f"{pre_li}\nselect * from ud",
-        "clicks_impressions_by_user_day_shuffled": f"{pre}\nselect * from ud",
-        "ctr_by_decile_models_shuffled": f"{pre}\nselect model, {ctr_cols} from dec_all",
         "order_names": f"""{pre},
 ids as (select cast(v as bigint) as orderId from (select unnest({[int(x) for x in p.order_ids]}) as v)),
 ranked as (select orderId, orderName, row_number() over (
@@ -211,16 +222,17 @@ select * from scores order by xid nulls first, date nulls first, tid nulls first
         "ctr_by_decile": f"{pre}\nselect {ctr_cols} from dec1",
         "ctr_by_decile_model2": f"{pre}\nselect {ctr_cols} from dec2",
         "ctr_by_decile_models": f"{pre}\nselect model, {ctr_cols} from dec_all",
+        "ctr_by_decile_models_materialized": f"{pre}\nselect model, {ctr_cols} from dec_all",
         "ctr_by_decile_all_models": f"{pre_all}\nselect model, {ctr_cols} from dec_all",
         "ctr_by_band_all_models": f"{pre_all}\nselect model, {band_cols} from band_all",
         "ctr_by_decile_dense": f"""{pre}
 select m.model, cast(r.v as int) as decile, cast(coalesce(x.impressions, 0) as bigint) as impressions,
        cast(coalesce(x.clicks, 0) as bigint) as clicks, {_ctr('x.clicks', 'x.impressions')} as ctr,
-       format('{{:.2f}}', {_ctr('x.clicks', 'x.impressions')}) || ' %' as ctr_label
+       format('{{:.2g}}', {_ctr('x.clicks', 'x.impressions')}) || ' %' as ctr_label
 from {models_values} cross join {deciles}
 left join dec_all x on x.model = m.model and x.decile = r.v and x.tid is not null""",
         "ctr_by_decile_report": f"""{pre}
-select model, decile, format('{{:,}}', impressions) as impressions, format('{{:,}}', clicks) as clicks,
+select {number}, model, decile, format('{{:,}}', impressions) as impressions, format('{{:,}}', clicks) as clicks,
        {_ctr('clicks', 'impressions')} as "{CTR_PERCENT_COLUMN}" from dec_all""",
         "ctr_by_band": f"{pre}\nselect {band_cols} from band1",
         "ctr_by_band_model2": f"{pre}\nselect {band_cols} from band2",
@@ -228,24 +240,23 @@ select model, decile, format('{{:,}}', impressions) as impressions, format('{{:,
         "ctr_by_band_dense": f"""{pre}
 select m.model, r.v as DecileGroup, cast(coalesce(x.impressions, 0) as bigint) as impressions,
        cast(coalesce(x.clicks, 0) as bigint) as clicks, {_ctr('x.clicks', 'x.impressions')} as ctr,
-       format('{{:.2f}}', {_ctr('x.clicks', 'x.impressions')}) || ' %' as ctr_label
+       format('{{:.2g}}', {_ctr('x.clicks', 'x.impressions')}) || ' %' as ctr_label
 from {models_values} cross join {bands}
 left join band_all x on x.model = m.model and x.DecileGroup = r.v and x.tid is not null""",
         "ctr_by_band_report": f"""{pre}
-select model, DecileGroup, format('{{:,}}', impressions) as impressions, format('{{:,}}', clicks) as clicks,
+select {number}, model, DecileGroup, format('{{:,}}', impressions) as impressions, format('{{:,}}', clicks) as clicks,
        {_ctr('clicks', 'impressions')} as "{CTR_PERCENT_COLUMN}" from band_all""",
-        "z_test_high_band": f"""{pre},
-hc as (select {h(1).format(c='clicks')} as c1, {h(1).format(c='impressions')} as n1,
-              {h(2).format(c='clicks')} as c2, {h(2).format(c='impressions')} as n2),
-zs as (select *, {z} as zv from hc),
-ps as (select *, {_erfc('abs(zv) / sqrt(2)')} as pv from zs)
+        "z_test_high_band": f"""{z_test}
 select {_lit(m1)} as model_1, {_lit(m2)} as model_2,
        cast(c1 as bigint) as clicks_1, cast(n1 as bigint) as impressions_1,
        cast(c2 as bigint) as clicks_2, cast(n2 as bigint) as impressions_2,
        {_round('zv', STAT_DIGITS)} as z, cast({p.alpha} as double) as alpha,
        {_round('pv', STAT_DIGITS)} as p_value,
-       coalesce(pv < {p.alpha}, false) as significant,
-       case when pv < {p.alpha} then '{VERDICT_REJECTED}' else '{VERDICT_NOT_REJECTED}' end as verdict
+       coalesce(pv < {p.alpha}, false) as significant, {verdict} as verdict
+from ps""",
+        "z_test_sentences": f"""{z_test}
+select '{P_VALUE_TEXT}' || coalesce(cast({_round('pv', STAT_DIGITS)} as varchar), 'nan') as p_value_text,
+       '{ALPHA_TEXT}' || cast(cast({p.alpha} as double) as varchar) as alpha_text, {verdict} as verdict
 from ps""",
         "user_best_scores": f"""{pre}
 select tid, xid, min(decile) as best_decile, max(score) as best_score
@@ -259,9 +270,14 @@ select cast(r.v as int) as tid1Decile,
        {", ".join(f'cast(coalesce(sum(case when c.tid2Decile = {d} then c.n end), 0) as bigint) as "{d}"' for d in range(1, 11))}
 from {deciles} left join cells c on c.tid1Decile = r.v
 group by r.v""",
-        "score_correlation": f"""{pre}
-select count(*) as n_users,
-       {_round('covar_pop(a, b) / nullif(stddev_pop(a) * stddev_pop(b), 0)', STAT_DIGITS)} as correlation
-from (select coalesce(tid1Score, 0) as a, coalesce(tid2Score, 0) as b from pairs)""",
+        "score_correlation": f"{pre}\nselect count(*) as n_users, {correlation} as correlation from {both_scores}",
+        "score_correlation_sentence": f"""{pre}
+select '{CORRELATION_TEXT}' || coalesce(cast({correlation} as varchar), 'nan') as correlation_text from {both_scores}""",
+        "overlap_state": f"""{pre}
+select tid1Decile, tid2Decile, count(*) as "count", min(a) as least1, max(a) as most1, min(b) as least2, max(b) as most2,
+       {_round('avg(a)', 4)} as mean1, {_round('avg(b)', 4)} as mean2,
+       {_round('stddev_pop(a)', 3)} as deviation1, {_round('stddev_pop(b)', 3)} as deviation2,
+       {_round('covar_pop(a, b) / 1e6', 3)} as covariance
+from {both_scores} group by all""",
     }
     return q

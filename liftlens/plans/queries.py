@@ -9,6 +9,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liftlens.operators.overlap import with_sentence
+from liftlens.operators.significance import with_sentences
 from liftlens.params import Params
 from liftlens.plans.dashboard import Dashboard, single_model
 from liftlens.sources.standins import standin_tables
@@ -51,6 +53,10 @@ def _d(spark, sf_dir, params=DEFAULT_PARAMS) -> Dashboard:
     return dashboard(spark, sf_dir, params)
 
 
+def _materialized(spark, sf_dir) -> Dashboard:
+    return dashboard(spark, sf_dir).materialize()
+
+
 def _line_items() -> Params:
     return DEFAULT_PARAMS.with_line_items(LINE_ITEM_IDS)
 
@@ -70,6 +76,19 @@ def _correlation(d: Dashboard) -> DataFrame:
     return d.score_correlation().withColumn("correlation", F.round("correlation", STAT_DIGITS))
 
 
+def _state(d: Dashboard) -> DataFrame:
+    """The state with deviations and the product (in millions) per user, at display precision."""
+    shown = {
+        "mean1": F.round("mean1", 4),
+        "mean2": F.round("mean2", 4),
+        "deviation1": F.round(F.sqrt(F.col("square1") / F.col("count")), 3),
+        "deviation2": F.round(F.sqrt(F.col("square2") / F.col("count")), 3),
+        "covariance": F.round(F.col("product") / F.col("count") / 1e6, 3),
+    }
+    as_is = ("tid1Decile", "tid2Decile", "count", "least1", "most1", "least2", "most2")
+    return d.overlap_state.select(*as_is, *(c.alias(k) for k, c in shown.items()))
+
+
 def _m1(frame: DataFrame) -> DataFrame:
     return single_model(frame, DEFAULT_PARAMS.model1)
 
@@ -84,9 +103,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "clicks_filtered": lambda s, d: _d(s, d).clicks(),
     "clicks_impressions_by_user_day": lambda s, d: _d(s, d).user_days,
     "clicks_impressions_by_user_day_line_items": lambda s, d: _d(s, d, _line_items()).user_days,
-    # Older names of the same two queries; there is one plan now.
-    "clicks_impressions_by_user_day_shuffled": lambda s, d: _d(s, d).user_days,
-    "ctr_by_decile_models_shuffled": lambda s, d: _d(s, d).ctr_by_decile(),
     # The narrower campaign: its order ids and days leave rows out, which is
     # the feature, so these fail if an order or date filter is lost.
     "impressions_filtered_campaign": lambda s, d: _d(s, d, FIXTURE_PARAMS).impressions(),
@@ -102,6 +118,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ctr_by_decile": lambda s, d: _m1(_d(s, d).ctr_by_decile([DEFAULT_PARAMS.model1])),
     "ctr_by_decile_model2": lambda s, d: _m2(_d(s, d).ctr_by_decile([DEFAULT_PARAMS.model2])),
     "ctr_by_decile_models": lambda s, d: _d(s, d).ctr_by_decile(),
+    # From the bucketed rollup table, with the scores of unexposed users left out at their scan.
+    "ctr_by_decile_models_materialized": lambda s, d: _materialized(s, d).ctr_by_decile(fresh=True),
     "ctr_by_decile_all_models": lambda s, d: _d(s, d, _all_models()).ctr_by_decile(),
     "ctr_by_band_all_models": lambda s, d: _d(s, d, _all_models()).ctr_by_band(),
     "ctr_by_decile_dense": lambda s, d: _d(s, d).ctr_by_decile_dense(),
@@ -119,4 +137,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "overlap_band_matrix": lambda s, d: _d(s, d).overlap_band_matrix(),
     "overlap_decile_wide": lambda s, d: _d(s, d).overlap_decile_wide(),
     "score_correlation": lambda s, d: _correlation(_d(s, d)),
+    # The sentences of the report, from values of the registered precision.
+    "z_test_sentences": lambda s, d: with_sentences(_z_test(_d(s, d))).select("p_value_text", "alpha_text", "verdict"),
+    "score_correlation_sentence": lambda s, d: with_sentence(_correlation(_d(s, d))).select("correlation_text"),
+    "overlap_state": lambda s, d: _state(_d(s, d)),
 }

@@ -52,6 +52,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on the cluster file system)")
 
 
+def _file_system(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists on its file system (local, HDFS, object store)."""
+    fs, found = _file_system(spark, path)
+    return fs.exists(found)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` and all below it on its file system."""
+    fs, found = _file_system(spark, path)
+    fs.delete(found, True)
+
+
 def scale_settings(shuffle_bytes: int, cores: int, target_partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
     """Spark settings for a run that shuffles about ``shuffle_bytes`` (the
     projected impression log is the largest shuffle) on ``cores`` executor cores.

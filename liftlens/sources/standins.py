@@ -21,17 +21,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from liftlens.constants import USER_ID_KEY
+from liftlens.session import path_exists
 from liftlens.sources.catalog import Tables
 
 # Dialect-specific map literals, keyed by token.
 _MAP_TOKENS = {
     "spark": {
         "{MAP_X}": "map('other', 'x')",
-        "{MAP_XID}": "map('vnd_4d_xid', concat('x', o.o_custkey))",
+        "{MAP_XID}": f"map('{USER_ID_KEY}', concat('x', o.o_custkey))",
     },
     "duckdb": {
         "{MAP_X}": "MAP {'other': 'x'}",
-        "{MAP_XID}": "MAP {'vnd_4d_xid': concat('x', o.o_custkey)}",
+        "{MAP_XID}": f"MAP {{'{USER_ID_KEY}': concat('x', o.o_custkey)}}",
     },
 }
 
@@ -155,7 +157,7 @@ def write_standins(spark: SparkSession, sf_dir: str, root: str, files_per_table:
     for name, cols in _CLUSTER_COLUMNS.items():
         path = f"{root.rstrip('/')}/{name}"
         df = frames[name].drop("flag") if name in ("imps", "clks") else frames[name]
-        if not _exists(spark, f"{path}/_SUCCESS"):
+        if not path_exists(spark, f"{path}/_SUCCESS"):
             df.repartitionByRange(n, *cols).sortWithinPartitions(*cols).write.mode("overwrite").parquet(path)
         out[name] = spark.read.schema(df.schema).parquet(path)
     return Tables(
@@ -167,13 +169,6 @@ def write_standins(spark: SparkSession, sf_dir: str, root: str, files_per_table:
     )
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether ``path`` exists on its file system (local, HDFS, object store)."""
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    return hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hpath)
-
-
 def standin_fingerprint(sf_dir: str) -> str:
     """Short digest of the stand-in definitions and the input files, for
     naming a written copy."""

@@ -111,7 +111,7 @@ def test_report_labels(spark):
     uds = [("u1", D1, 1234567, 1)]
     dec = lift.ctr_by_decile(spark.createDataFrame(uds, UD_SCHEMA),
                              lift.prepare_scores(spark.createDataFrame([], SC_SCHEMA), P), ["a"])
-    r = lift.ctr_by_decile_report(dec).collect()[0]
+    r = lift.ctr_by_decile_report(dec, ["a"]).collect()[0]
     assert r.impressions == "1,234,567" and r["ctr %"] == 0.0
 
 
@@ -130,3 +130,48 @@ def test_hot_user_day_with_many_distinct_scores(spark):
         assert mine == _brute(uds, scores, m)
     hot = {r.decile: r.impressions for r in got if r.model == "a" and r.tid == "a"}
     assert hot == {d: 300 * 3 for d in range(1, 11)}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_deciles_without_a_counter(spark, seed):
+    """Deciles outside 1 to 10 keep rows of their own, next to regular ones."""
+    rng = random.Random(seed)
+    uds, scores = _random_case(seed)
+    scores += [(f"u{rng.randint(0, 15)}", dt.date(2020, 1, rng.randint(1, 2)), rng.choice(["a", "b"]), rng.random(), rng.choice([0, -3, 11, 400, 2])) for _ in range(40)]
+    got = lift.ctr_by_decile(spark.createDataFrame(uds, UD_SCHEMA), lift.prepare_scores(spark.createDataFrame(scores, SC_SCHEMA), P), P.models).collect()
+    for m in P.models:
+        want = _brute(uds, scores, m)
+        assert {(r.tid, r.decile): (r.impressions, r.clicks) for r in got if r.model == m} == want
+        assert any(d in (0, -3, 11, 400) for _, d in want)
+
+
+@pytest.mark.parametrize("words", [1, 2, 1 << 10])
+def test_scores_of_unexposed_users_are_left_out(spark, words):
+    """Any filter size gives the same report; a large one drops most other users."""
+    uds, scores = _random_case(1)
+    scores += [(f"other{i}", D1, "a", float(i), 1 + i % 10) for i in range(500)]
+    ud, sc = spark.createDataFrame(uds, UD_SCHEMA), spark.createDataFrame(scores, SC_SCHEMA)
+    kept = lift.prepare_scores(sc, P, users=ud, filter_words=words)
+    for m in P.models:
+        got = lift.ctr_by_decile(ud, kept, P.models).collect()
+        assert {(r.tid, r.decile): (r.impressions, r.clicks) for r in got if r.model == m} == _brute(uds, scores, m)
+    others = kept.filter(F.col("xid").startswith("other")).count()
+    assert others <= 5 if words > 2 else others <= 500
+
+
+def test_one_id_under_two_spellings(spark):
+    """Each requested text is compared as a value of the id column."""
+    sc = spark.createDataFrame([("u1", D1, 7, 0.5, 3)], "xid string, date date, tid int, score double, decile int")
+    ud = spark.createDataFrame([("u1", D1, 4, 1), ("u2", D1, 6, 0)], UD_SCHEMA)
+    got = {(r.model, r.tid, r.decile): r.impressions for r in lift.ctr_by_decile(ud, sc, ["7", "07", "x"]).collect()}
+    assert got == {("7", 7, 3): 4, ("07", 7, 3): 4, ("7", None, None): 6, ("07", None, None): 6, ("x", None, None): 10}
+
+
+def test_report_order_follows_the_requested_models(spark):
+    uds = [(f"u{i}", D1, 10 + i, 1) for i in range(6)]
+    scores = [(f"u{i}", D1, m, 0.5, 10 - i) for i in range(5) for m in ("a", "b")]
+    dec = lift.ctr_by_decile(spark.createDataFrame(uds, UD_SCHEMA), lift.prepare_scores(spark.createDataFrame(scores, SC_SCHEMA), P), ["b", "a"])
+    rows = lift.ctr_by_decile_report(dec, ["b", "a"]).collect()
+    assert [(r.model_no, r.model, r.decile) for r in rows] == [(n, m, d) for n, m in ((1, "b"), (2, "a")) for d in (None, 6, 7, 8, 9, 10)]
+    bands = lift.ctr_by_band_report(lift.ctr_by_band(dec), ["b", "a"]).collect()
+    assert [(r.model, r.DecileGroup) for r in bands] == [(m, b) for m in ("b", "a") for b in ("2. M", "3. L", "Unscored")]

@@ -22,6 +22,10 @@ def _scores(seed, n=300):
     ]
 
 
+def _cells(sc, model1, model2):
+    return overlap.overlap_by_decile(overlap.overlap_state(overlap.best_score_pairs(sc, P, model1, model2)))
+
+
 def _join_formulation(sc, p):
     """Two grouped frames joined on the user id, as the dashboard wrote it."""
     w = sc.filter(F.col("date").between(F.lit(p.start_date), F.lit(p.end_date)))
@@ -40,8 +44,8 @@ def test_pairs_equal_join_of_grouped_frames(spark, seed):
 
 def test_overlap_swapped_models_is_transpose(spark):
     sc = spark.createDataFrame(_scores(5), SC)
-    ab = {(r.tid1Decile, r.tid2Decile): r["count"] for r in overlap.overlap_by_decile(overlap.best_score_pairs(sc, P, "a", "b")).collect()}
-    ba = {(r.tid2Decile, r.tid1Decile): r["count"] for r in overlap.overlap_by_decile(overlap.best_score_pairs(sc, P, "b", "a")).collect()}
+    ab = {(r.tid1Decile, r.tid2Decile): r["count"] for r in _cells(sc, "a", "b").collect()}
+    ba = {(r.tid2Decile, r.tid1Decile): r["count"] for r in _cells(sc, "b", "a").collect()}
     assert ab == ba
 
 
@@ -51,14 +55,14 @@ def test_band_cells_equal_banding_before_join(spark):
 
     j = _join_formulation(sc, P)
     want = {(r.g1, r.g2): r.n for r in j.groupBy(band("tid1Decile").alias("g1"), band("tid2Decile").alias("g2")).agg(F.count("*").alias("n")).collect()}
-    cells = overlap.overlap_by_decile(overlap.best_score_pairs(sc, P, "a", "b"))
+    cells = _cells(sc, "a", "b")
     got = {(r.DecileGroup1, r.DecileGroup2): r["count"] for r in overlap.overlap_by_band(cells).collect()}
     assert got == want
 
 
 def test_matrix_shape_and_column_shares(spark):
     sc = spark.createDataFrame(_scores(7), SC)
-    cells = overlap.overlap_by_decile(overlap.best_score_pairs(sc, P, "a", "b"))
+    cells = _cells(sc, "a", "b")
     m = overlap.overlap_decile_matrix(cells).collect()
     assert len(m) == 100
     for col in range(1, 11):
@@ -86,8 +90,52 @@ def test_labels(spark):
 def test_correlation_counts_missing_score_as_zero(spark):
     pairs = spark.createDataFrame([("u1", 1, 0.5, 1, None), ("u2", 2, None, 3, 0.7), ("u3", 3, 0.9, 2, 0.2)],
                                   "xid string, tid1Decile int, tid1Score double, tid2Decile int, tid2Score double")
-    r = overlap.score_correlation(pairs).collect()[0]
+    r = overlap.score_correlation(overlap.overlap_state(pairs)).collect()[0]
     import numpy as np
 
     assert r.n_users == 3
     assert r.correlation == pytest.approx(np.corrcoef([0.5, 0, 0.9], [0, 0.7, 0.2])[0, 1], abs=1e-12)
+
+
+PAIRS = "xid string, tid1Decile int, tid1Score double, tid2Decile int, tid2Score double"
+
+
+def _users(seed, n, offset=0.0):
+    rng = random.Random(seed)
+    decile = lambda: rng.choice([None, *range(1, 11)])
+    score = lambda: rng.choice([None, offset + rng.random(), offset + rng.random()])
+    return [(f"{seed}-{i}", decile(), score(), decile(), score()) for i in range(n)]
+
+
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_state_of_parts_merges_exactly(spark, offset):
+    """States over different users, put together, give the numbers of all users,
+    also where the scores are far from zero."""
+    import numpy as np
+
+    parts = [_users(seed, 400, offset) for seed in range(3)]
+    frames = [overlap.overlap_state(spark.createDataFrame(p, PAIRS)) for p in parts]
+    together = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    merged = overlap.merge_state(together, "tid1Decile", "tid2Decile")
+    assert merged.count() <= 121
+    rows = [r for p in parts for r in p]
+    x, y = (np.array([r[i] or 0.0 for r in rows]) for i in (2, 4))
+    for state in (together, merged):
+        got = overlap.score_correlation(state).first()
+        assert got.n_users == len(rows) and got.correlation == pytest.approx(np.corrcoef(x, y)[0, 1], abs=1e-9)
+    whole = {(r.tid1Decile, r.tid2Decile): r for r in overlap.overlap_state(spark.createDataFrame(rows, PAIRS)).collect()}
+    for r in merged.collect():
+        want = whole[r.tid1Decile, r.tid2Decile]
+        assert (r["count"], r.least1, r.most2) == (want["count"], want.least1, want.most2)
+        assert (r.mean1, r.square1, r["product"]) == pytest.approx((want.mean1, want.square1, want["product"]), rel=1e-6, abs=1e-6 * max(offset, 1))
+    counts = {(r.tid1Decile, r.tid2Decile): r["count"] for r in overlap.overlap_by_decile(together).collect()}
+    assert counts == {k: r["count"] for k, r in whole.items()}
+
+
+def test_correlation_of_constant_or_missing_scores(spark):
+    def of(rows):
+        return tuple(overlap.score_correlation(overlap.overlap_state(spark.createDataFrame(rows, PAIRS))).first())
+
+    assert of([]) == (0, None)
+    assert of([("u", 1, 0.5, 2, 0.7)]) == (1, None)
+    assert of([(f"u{i}", i % 10, 0.1, i % 7, i / 7) for i in range(100)]) == (100, None)  # 0.1 in many cells

@@ -10,6 +10,7 @@ import re
 import pytest
 
 import __spark_entry__ as E
+from liftlens.plans.dashboard import Dashboard
 from liftlens.plans.queries import QUERIES
 from tests.conftest import SF0001
 
@@ -40,25 +41,58 @@ def test_no_pairwise_or_row_udf_operators(no_broadcast, name):
         assert bad not in plan, f"{name} plans {bad}"
 
 
-def test_score_join_keeps_user_day_partitioning(no_broadcast):
-    plan = _plan(E.queries()["ctr_by_decile_models"](no_broadcast, SF0001))
-    # one shuffle on the user-day key (the rollup's); the score join reuses it
-    assert len(re.findall(r"Exchange hashpartitioning\(xid_imp#\d+, date#\d+", plan)) == 1
+def _exchanges(plan: str, of: str) -> list[str]:
+    """Exchanges on keys that begin with ``of``; a reused one is named once more, without its children."""
+    return re.findall(rf"- Exchange hashpartitioning\((?:{of})[^\n]*", plan)
+
+
+def test_scores_are_shuffled_twice(no_broadcast):
+    """Once to drop copies and once as counters to the user-days, whose own
+    partitioning the join keeps."""
+    t, p = _standins(no_broadcast)
+    plan = _plan(Dashboard(t, p).ctr_by_decile())
+    assert len(_exchanges(plan, r"xid#\d+, date#\d+, \d+\)")) == 1  # the counters
+    assert len(re.findall(r"- Exchange hashpartitioning\([^\n]*score#", plan)) == 1  # the distinct
+    assert len(_exchanges(plan, r"xid_imp#\d+, date#\d+, \d+\)")) == 1  # the user-days, for the rollup and the join
     assert "SortMergeJoin [xid_imp" in plan
+    assert "ObjectHashAggregate" not in plan and "collect_" not in plan
 
 
-def test_click_match_plan(spark):
-    """Impressions are counted per (serve key, day) map-side, and the click
-    counts' own shuffle feeds the match join (no second exchange on the renamed
-    ``c_`` keys)."""
+def test_click_match_plan(no_broadcast):
+    """One exchange of the impressions, both logs in it, and no join of the two:
+    the branch of rows without a serve and the one with it read the same exchange."""
     from liftlens.operators import events
+
+    t, p = _standins(no_broadcast)
+    plan = _plan(events.user_days(t.impressions, t.clicks, p))
+    assert len(_exchanges(plan, r"xid_imp#\d+, date#\d+, serve")) == 1
+    assert plan.count("ReusedExchange") >= 1
+    assert len(_exchanges(plan, r"xid_imp#\d+, date#\d+, \d+\)")) == 1
+    # joins: those of the stand-ins (lineitem with orders) and the lookup in the filter of fixed size
+    assert all("orderkey" in j or "xxhash64" in j for j in re.findall(r"Join \[[^\n]*", plan))
+
+
+def _standins(spark):
     from liftlens.plans.queries import DEFAULT_PARAMS
     from liftlens.sources.standins import standin_tables
 
-    t = standin_tables(spark, SF0001)
-    plan = _plan(events.user_days(t.impressions, t.clicks, DEFAULT_PARAMS))
-    assert len(re.findall(r"Exchange hashpartitioning\(c_Time", plan)) == 0
-    assert "partial_count" in plan
+    return standin_tables(spark, SF0001), DEFAULT_PARAMS
+
+
+def test_materialized_rollup_keeps_its_partitioning(no_broadcast):
+    """The score join reads the bucketed rollup without an exchange."""
+    t, p = _standins(no_broadcast)
+    d = Dashboard(t, p).materialize()
+    try:
+        lazy = Dashboard(t, p)
+        lazy._user_days = d.user_days
+        plan = _plan(lazy.ctr_by_decile())
+        assert "Bucketed: true" in plan and "SortMergeJoin [xid_imp" in plan
+        assert not _exchanges(plan, "xid_imp")
+        assert d._overlap.count() <= 121
+    finally:
+        d.release()
+    assert d._rollup_table is None
 
 
 @pytest.mark.parametrize("name", ["ctr_by_decile_models", "clicks_impressions_by_user_day", "z_test_high_band"])
