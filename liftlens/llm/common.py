@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -13,6 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from liftlens.operators.prefilter import mark_listed
 from liftlens.session import ensure_checkpoint_dir
 
 
@@ -53,6 +56,40 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def _give_back() -> None:
+    """Return freed memory to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps its own counsel
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, giving back the memory it freed when a task ends:
+    Spark uses its Python workers again, and they would keep the peak of every stage."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return tidied
+
+
+def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``rows`` whose id is not among ``ids`` (a written table of that column);
+    null ids stay. A filter of fixed size clears most rows where they are, and
+    only the others meet the ids in a join."""
+    mark = "_listed"
+    while mark.lower() in map(str.lower, rows.columns):
+        mark = f"_{mark}"
+    marked = mark_listed(rows, ids.select(id_col), [id_col], mark)
+    met = marked.filter(mark).join(ids, id_col, "left_anti").select(*rows.columns)
+    return marked.filter(~F.col(mark)).select(*rows.columns).union(met)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,11 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_type, index_words, materialize, slices
+from .common import arrow_type, index_words, materialize, shared_path, slices, tidy
 
 WINDOW = 13
 SHARD_BYTES = 1_000_000
 BLOCK_WORDS = 1_000_000  # words of test items that are broadcast at once
+HELD_POSTINGS = 250_000  # postings that a search follows at once (one window's at least)
 HIT_SHARE = 20  # contaminated: a hit word among this many
 
 # 0-9, a-z and everything beyond ASCII are word bytes
@@ -88,7 +89,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     long, binary = T.LongType(), T.BinaryType()
     fields = {"shard": long, "ids": T.ArrayType(docs.schema[id_col].dataType), "lengths": T.ArrayType(long)}
     fields |= {"terms": T.ArrayType(binary), "starts": binary, "positions": binary}
-    rows = docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(k, v) for k, v in fields.items()]))
+    rows = docs.select(id_col, text_col).mapInArrow(tidy(run), T.StructType([T.StructField(k, v) for k, v in fields.items()]))
     return materialize(rows, "postings")
 
 
@@ -117,7 +118,11 @@ class Queries:
 
 
 def search(shard: Shard, queries: Queries, slop: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matches in a shard: (window number, first position, last position)."""
+    """Matches in a shard: (window number, first position, last position).
+
+    Windows are followed in runs whose rarest words have ``HELD_POSTINGS``
+    postings or fewer together (one window at least), so that windows of common
+    words need no more memory than others."""
     none = np.zeros(0, dtype=np.int64)
     size = int(shard.bounds[-1])
     if not size or not len(queries.windows):
@@ -138,20 +143,35 @@ def search(shard: Shard, queries: Queries, slop: int = 0) -> tuple[np.ndarray, n
     often = np.where(pad, np.iinfo(np.int64).max, sizes[np.where(pad, 0, terms)])
     rarity = np.argsort(often, axis=1, kind="stable")  # offsets by falling rarity
     keys = shard.keys()
+    reps = sizes[terms[np.arange(len(alive)), rarity[:, 0]]] * (slop + 1)
+    ends = np.cumsum(reps)
+    found, at = [], 0
+    while at < len(alive):
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] - reps[at] + HELD_POSTINGS, "right")))
+        window, first, last = _follow(shard, keys, terms[at:stop], lengths[at:stop], rarity[at:stop], slop)
+        found.append((alive[window + at], first, last))
+        at = stop
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _follow(shard: Shard, keys: np.ndarray, terms: np.ndarray, lengths: np.ndarray, rarity: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches of a run of windows (row, first position, last position) whose
+    words all occur in the shard; ``rarity`` has the offsets of each by falling rarity."""
+    size, width = int(shard.bounds[-1]), terms.shape[1]
 
     def is_posting(term: np.ndarray, position: np.ndarray) -> np.ndarray:
         wanted = term * size + position
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return (keys[at] == wanted) & (position >= 0) & (position < size)
 
-    rows = np.arange(len(alive))
+    rows = np.arange(len(terms))
     rarest = terms[rows, rarity[:, 0]]
-    reps = sizes[rarest]
+    reps = np.diff(shard.starts)[rarest]
     window = np.repeat(rows, reps)
     inside = np.arange(len(window)) - np.repeat(np.cumsum(reps) - reps, reps)
     first = shard.positions[shard.starts[rarest][window] + inside] - rarity[window, 0]
     if slop == 0:
-        for k in range(1, queries.windows.shape[1]):
+        for k in range(1, width):
             offset = rarity[window, k]
             left = k >= lengths[window]
             fits = left | is_posting(np.where(left, 0, terms[window, offset]), first + offset)
@@ -166,7 +186,7 @@ def search(shard: Shard, queries: Queries, slop: int = 0) -> tuple[np.ndarray, n
         pairs = np.unique(window[fits] * size + first[fits])
         window, first = pairs // size, pairs % size
         last = first.copy()
-        for k in range(1, queries.windows.shape[1]):
+        for k in range(1, width):
             more = k < lengths[window]
             term = np.where(more, terms[window, k], 0)
             at = np.searchsorted(keys, term * size + last + 1)
@@ -176,7 +196,7 @@ def search(shard: Shard, queries: Queries, slop: int = 0) -> tuple[np.ndarray, n
             window, first, last = window[ok], first[ok], last[ok]
     doc = np.searchsorted(shard.bounds, first, side="right") - 1
     ok = last < shard.bounds[doc + 1] if len(doc) else np.zeros(0, dtype=bool)
-    return alive[window[ok]], first[ok], last[ok]
+    return window[ok], first[ok], last[ok]
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -210,9 +230,9 @@ def _blocks(items: DataFrame, id_col: str, text_col: str, unnamed: bool) -> Iter
 def find(
     index: DataFrame, items: DataFrame, window: int = WINDOW, slop: int = 0, item_col: str = "item_id", text_col: str = "text", unnamed: bool = False
 ) -> DataFrame | None:
-    """Matches per document and item: shard, at (the document's place in its
-    shard), item, spans (word positions from the document's start, end
-    exclusive, joined where they touch). Null if there are no items.
+    """Matches per document and item, written to the shared folder: shard, at (the
+    document's place in its shard), item, spans (word positions from the document's
+    start, end exclusive, joined where they touch). None if there are no items.
 
     Items without words match nothing; equal ids are one item. Items with a
     null id match nothing either, or if ``unnamed`` they are one item, null.
@@ -225,8 +245,9 @@ def find(
         [T.StructField("shard", T.LongType()), T.StructField("at", T.LongType()), T.StructField("item", items.schema[item_col].dataType)]
         + [T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))]
     )
-    parts = []
+    path = None
     for block in _blocks(items, item_col, text_col, unnamed):
+        path = path or shared_path(spark, "matches")
         shared = spark.sparkContext.broadcast(Queries.of(block, window))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -248,13 +269,11 @@ def find(
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-        parts.append(index.select("shard", "lengths", "terms", "starts", "positions").mapInArrow(run, out))
-    if not parts:
-        return None
-    all_parts = parts[0]
-    for more in parts[1:]:
-        all_parts = all_parts.union(more)
-    return all_parts
+        # written block by block, so that one block's windows are held at a time
+        found = index.select("shard", "lengths", "terms", "starts", "positions").mapInArrow(tidy(run), out)
+        found.write.mode("append").parquet(path)
+        shared.destroy()
+    return None if path is None else spark.read.schema(out).parquet(path)
 
 
 def contamination(

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_type, index_words, materialize, slices, text_sums
+from .common import arrow_type, index_words, materialize, slices, text_sums, tidy
 
 ORDER = 3
 MAX_NODES = 400_000  # n-grams, or priced windows, that are broadcast
@@ -259,14 +259,17 @@ def frequent_prices(prices: DataFrame, table: GramTable) -> tuple[np.ndarray, np
 def identify(
     docs: DataFrame, trees: ContextTrees | GramTable, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()
 ) -> DataFrame:
-    """One row per input row: the id, lang_pred and score, and the columns named in ``carry``.
+    """One row per input row: the id, lang_pred and score, and the columns named
+    in ``carry``, which may hold the text itself and must not hold lang_pred or score.
 
     ``lang_pred`` has the shortest code (ties: the first by name); ``score`` is
     its share of 2^-length over all languages. A text that is null, empty or
-    has no letter, or trees without languages: ``und`` and 0.
+    has no letter, or trees without languages: ``und`` and 0. Texts of any length
+    are read whole. Repeated rows stay rows of their own; an empty table gives none.
     """
+    others = tuple(c for c in carry if c != text_col)
     if isinstance(trees, GramTable):
-        return _identify_by_table(docs, trees, id_col, text_col, carry)
+        return _identify_by_table(docs, trees, id_col, text_col, carry, others)
     shared = docs.sparkSession.sparkContext.broadcast(trees)
     schema = pa.schema([(id_col, arrow_type(docs, id_col)), ("lang_pred", pa.string()), ("score", pa.float64())] + [(c, arrow_type(docs, c)) for c in carry])
 
@@ -286,22 +289,27 @@ def identify(
                         if has_letter(texts[i]):
                             langs[i] = trees.langs[best[i]]
                             scores[i] = 1.0 / shares[i].sum()
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(scores), *part.columns[2:]], schema=schema)
+                carried = dict(zip((text_col, *others), part.columns[1:]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs), pa.array(scores), *(carried[c] for c in carry)], schema=schema)
 
     out = T.StructType(
         [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
         + [docs.schema[c] for c in carry]
     )
-    return docs.select(id_col, text_col, *carry).mapInArrow(run, out)
+    return docs.select(id_col, text_col, *others).mapInArrow(tidy(run), out)
 
 
-def _identify_by_table(docs: DataFrame, table: GramTable, id_col: str, text_col: str, carry: tuple[str, ...]) -> DataFrame:
+def _identify_by_table(docs: DataFrame, table: GramTable, id_col: str, text_col: str, carry: tuple[str, ...], others: tuple[str, ...]) -> DataFrame:
     """``identify`` with the statistics in a table: one pass sums the broadcast
     prices and lists the other windows, whose prices are joined and added."""
     prices = window_prices(materialize(gram_counts(docs.select(F.lit("").alias("lang"), text_col), table.order).select("gram", "n"), "ppm-wanted"), table)
     order, n_langs = table.order, len(table.langs)
     shared = docs.sparkSession.sparkContext.broadcast(frequent_prices(prices, table))
-    names = ("_row", "_letters", "_bits", "_code", "_times")
+    mark = "_"  # inner columns begin with more underscores than any given one
+    while any(c.lower().startswith(mark) for c in (id_col, *carry)):
+        mark += "_"
+    row_col, letters_col, bits_col, code_col, times_col = names = tuple(mark + c for c in ("row", "letters", "bits", "code", "times"))
+    more_col = mark + "more"
     types = (pa.int64(), pa.bool_(), pa.list_(pa.float64()), pa.int64(), pa.int64())
     schema = pa.schema([(c, arrow_type(docs, c)) for c in (id_col, *carry)] + list(zip(names, types)))
 
@@ -330,7 +338,8 @@ def _identify_by_table(docs: DataFrame, table: GramTable, id_col: str, text_col:
                     tail = _tail(codes, place, (place > 0) & ~found, flat, bounds, len(words))
                 letters = pa.array([k > 0 and has_letter(t) for k, t in zip(np.diff(bounds).tolist(), texts)], pa.bool_())
                 own = [pa.array(rows), letters, pa.array(list(lengths), pa.list_(pa.float64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
-                yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], *own], schema=schema)
+                carried = dict(zip((text_col, *others), part.columns[1:]))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(carried[c] for c in carry), *own], schema=schema)
                 if tail is not None and len(tail[0]):
                     which, code, times = tail
                     k = len(which)
@@ -344,18 +353,19 @@ def _identify_by_table(docs: DataFrame, table: GramTable, id_col: str, text_col:
         [T.StructField(c, docs.schema[c].dataType) for c in (id_col, *carry)] + [T.StructField(c, t) for c, t in zip(names, kinds)]
     )
     # written once, so that a row has one number in both uses
-    parts = materialize(docs.select(id_col, text_col, *carry).mapInArrow(run, out), "ppm-parts")
-    tail = parts.filter("_code is not null").select("_row", "_code", "_times").join(prices.select(F.col("code").alias("_code"), F.col("bits").alias("_more")), "_code")
-    sums = tail.groupBy("_row").agg(F.array(*(F.sum(F.get("_more", F.lit(i)) * F.col("_times")) for i in range(n_langs))).alias("_more"))
-    rows = parts.filter("_code is null").join(sums, "_row", "left")
-    rows = rows.withColumn("_bits", F.transform("_bits", lambda x, i: x + F.coalesce(F.get("_more", i), F.lit(0.0))))
-    best = F.array_min("_bits")
-    pred = F.get(F.array(*map(F.lit, table.langs)), (F.array_position("_bits", best) - 1).cast("int"))
-    share = F.aggregate("_bits", F.lit(0.0), lambda total, x: total + F.pow(F.lit(2.0), best - x))
+    parts = materialize(docs.select(id_col, text_col, *others).mapInArrow(tidy(run), out), "ppm-parts")
+    tail = parts.filter(F.col(code_col).isNotNull()).select(row_col, code_col, times_col)
+    tail = tail.join(prices.select(F.col("code").alias(code_col), F.col("bits").alias(more_col)), code_col)
+    sums = tail.groupBy(row_col).agg(F.array(*(F.sum(F.get(more_col, F.lit(i)) * F.col(times_col)) for i in range(n_langs))).alias(more_col))
+    rows = parts.filter(F.col(code_col).isNull()).join(sums, row_col, "left")
+    rows = rows.withColumn(bits_col, F.transform(bits_col, lambda x, i: x + F.coalesce(F.get(more_col, i), F.lit(0.0))))
+    best = F.array_min(bits_col)
+    pred = F.get(F.array(*map(F.lit, table.langs)), (F.array_position(bits_col, best) - 1).cast("int"))
+    share = F.aggregate(bits_col, F.lit(0.0), lambda total, x: total + F.pow(F.lit(2.0), best - x))
     return rows.select(
         id_col,
-        F.when(F.col("_letters"), pred).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
-        F.when(F.col("_letters"), 1.0 / share).otherwise(F.lit(0.0)).alias("score"),
+        F.when(F.col(letters_col), pred).otherwise(F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(F.col(letters_col), 1.0 / share).otherwise(F.lit(0.0)).alias("score"),
         *carry,
     )
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_type, materialize, shuffle_partitions, slices
+from .common import arrow_type, materialize, shuffle_partitions, slices, tidy
 
 WINDOW = 4096
 CACHE_RUNS = 400_000  # per Python worker and cache; cleared when full
@@ -154,7 +154,7 @@ def tokenize(
         + [T.StructField(c, T.LongType()) for c in ("start", "length", "doc_tokens")]
         + [T.StructField("ids", T.BinaryType())]
     )
-    return docs.select(id_col, text_col).mapInArrow(cut, out)
+    return docs.select(id_col, text_col).mapInArrow(tidy(cut), out)
 
 
 class OpenWindows:

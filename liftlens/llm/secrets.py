@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import arrow_type, slices
+from .common import arrow_type, slices, tidy
 
 # Fixed patterns of the base scan: kind, pattern, shortest match (of group 2 for assign).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -40,7 +40,13 @@ MIN_LITERAL = 8
 MIN_SCORE = 6
 SCORED_CHARS = 4096  # of a joined value; all its literals are spans
 
-NAME = re.compile(r"""(?P<quote>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.\-]*)(?P=quote)\x20*(?::=|=>|=(?![=>])|:(?![:/]))\x20*""", re.ASCII)
+# A name is read once: quoted names are tried after a quote, bare ones only where a run of name characters begins,
+# and no part gives characters back, so long runs of letters, dots or spaces cost one pass.
+NAME = re.compile(
+    r"""(?:(?P<quote>["'])(?P<quoted>[A-Za-z_][A-Za-z0-9_.\-]*+)(?P=quote)|(?<![A-Za-z0-9_.\-])[0-9.\-]*+(?P<bare>[A-Za-z_][A-Za-z0-9_.\-]*+))"""
+    r"""\x20*+(?::=|=>|=(?![=>])|:(?![:/]))\x20*+""",
+    re.ASCII,
+)
 ATOM = re.compile(
     r'''"(?P<double>(?:[^"\\\n]|\\.)*)"|'(?P<single>(?:[^'\\\n]|\\.)*)'|(?P<word>[A-Za-z0-9_][A-Za-z0-9+/_.=\-]*)''', re.ASCII
 )
@@ -102,8 +108,9 @@ def assignments(text: str) -> Iterator[tuple[str, str, Parts]]:
                 break
             place = plus.end()
         if parts:
-            known[m["name"]] = (value, parts)
-            yield m["name"], value, parts
+            name = m["quoted"] or m["bare"]
+            known[name] = (value, parts)
+            yield name, value, parts
 
 
 def literal_spans(text: str) -> list[tuple[str, int, int]]:
@@ -180,4 +187,4 @@ def scan(
         + [docs.schema[c] for c in carry]
         + ([T.StructField("text", T.StringType())] if with_text else [])
     )
-    return docs.select(id_col, text_col, *carry).mapInArrow(run, out)
+    return docs.select(id_col, text_col, *carry).mapInArrow(tidy(run), out)

@@ -48,7 +48,7 @@ def test_queries_equal_their_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF0001}/{t}.parquet'")
     df = E.queries()[name](spark, SF0001)
     columns = sorted(df.columns)
@@ -58,5 +58,5 @@ def test_queries_equal_their_oracles(spark, name):
 
 def test_registry():
     names = [n for n in E.queries() if n.startswith("op") and n[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in E.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
     assert packing.WINDOW == 4096
