@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftlens.llm import decontaminate, langid_ppm, near_dup, packing, secrets
-from liftlens.llm.common import materialize, table
+from liftlens.llm.common import materialize, table, without
 from liftlens.llm.queries import ppm_held_out, tokenizer_path
 
 MIN_LANGUAGE_SCORE = 0.5
@@ -24,22 +24,23 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with at least half of the score."""
     trees = langid_ppm.learn(docs.filter(~ppm_held_out()))
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    read = docs.select("doc_id", "text", F.col("text").alias("_text"), *(F.col(c).alias(f"_{c}") for c in others))
-    told = langid_ppm.identify(read, trees, carry=("_text", *(f"_{c}" for c in others)))
+    read = docs.select("doc_id", "text", *(F.col(c).alias(f"_{c}") for c in others))
+    told = langid_ppm.identify(read, trees, carry=("text", *(f"_{c}" for c in others)))
     kept = told.filter((F.col("lang_pred") != langid_ppm.UNKNOWN) & (F.col("score") >= MIN_LANGUAGE_SCORE))
-    return kept.select(*(F.col(c if c == "doc_id" else f"_{c}").alias(c) for c in docs.columns))
+    return kept.select(*(F.col(c if c in ("doc_id", "text") else f"_{c}").alias(c) for c in docs.columns))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate component."""
-    kept = near_dup.near_duplicates(docs).filter("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    copies = near_dup.near_duplicates(docs).filter("doc_id is not null and not kept").select("doc_id").distinct()
+    return without(docs.filter("doc_id is not null"), materialize(copies, "copies"), "doc_id")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages in a twentieth of their words or more."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
-    return docs.join(found.filter("contaminated").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    hit = found.filter("contaminated and doc_id is not null").select("doc_id").distinct()
+    return without(docs, materialize(hit, "contaminated"), "doc_id")
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
