@@ -6,8 +6,9 @@ and reported as click-through rate per score decile and per H/M/L band,
 with a two-proportion z-test between models and an overlap analysis of the
 users two models score.
 
-Every public function takes DataFrames and returns a lazy DataFrame; nothing
-is collected to the driver inside the library.
+The report operators take DataFrames and return lazy DataFrames, and collect
+nothing. Materializing and publishing write tables; the training-data operators in
+``llm`` write tables and bring bounded values to the driver.
 """
 
 from liftlens.params import Params, parse_id_list
