@@ -78,6 +78,15 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
+def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most ``rows`` rows of a table of texts in an Arrow batch from now on: the
+    JVM and its Python workers hold a batch several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def without(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """``rows`` whose id is not among ``ids`` (a written table of that column);
     null ids stay. A filter of fixed size clears most rows where they are, and

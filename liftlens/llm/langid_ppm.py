@@ -36,7 +36,7 @@ ORDER = 3
 MAX_NODES = 400_000  # n-grams, or priced windows, that are broadcast
 MAX_PRICES = 8 * MAX_NODES  # numbers in the broadcast of priced windows
 MEMO_WINDOWS = 500_000  # cached window costs in a worker; cleared beyond
-HELD_WORDS = 200_000  # distinct words, and bytes of the texts they come from, that a task
+HELD_WORDS = 100_000  # distinct words, and bytes of the texts they come from, that a task
 HELD_BYTES = 64_000_000  # counts before it cuts them into n-grams
 UNKNOWN = "und"
 
@@ -182,7 +182,7 @@ def gram_counts(rows: DataFrame, order: int) -> DataFrame:
                     held = 0
         yield from cut()
 
-    partial = rows.mapInArrow(count, "lang string, gram long, n long")
+    partial = rows.mapInArrow(tidy(count), "lang string, gram long, n long")
     return partial.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 

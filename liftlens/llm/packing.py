@@ -29,8 +29,7 @@ from pyspark.sql import types as T
 from .common import arrow_type, materialize, shuffle_partitions, slices, tidy
 
 WINDOW = 4096
-CACHE_RUNS = 400_000  # per Python worker and cache; cleared when full
-CACHE_STEMS = 800_000
+CACHE_RUNS = 400_000  # per Python worker, and twice as many stems; cleared when full
 CACHED_LENGTH = 48  # longer runs are encoded anew each time
 
 
@@ -54,7 +53,8 @@ class WordEncoder:
 
     WORD = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int = CACHE_RUNS):
+        self.cached = cached
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -98,9 +98,9 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        if len(self.runs) > CACHE_RUNS:
+        if len(self.runs) > self.cached:
             self.runs.clear()
-        if len(self.stems) > CACHE_STEMS:
+        if len(self.stems) > 2 * self.cached:
             self.stems.clear()
         known = self.runs
         got = self._new_runs(list(set(chain.from_iterable(split)).difference(known)))
@@ -113,9 +113,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cached: int = CACHE_RUNS) -> WordEncoder:
     """One encoder for all tasks of a Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, cached)
 
 
 def tokenize(
@@ -125,12 +125,15 @@ def tokenize(
     end_id: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
+    cached: int = CACHE_RUNS,
 ) -> DataFrame:
     """Pieces of all documents: the id column, start, length, doc_tokens, ids.
 
     ``ids`` is binary, little-endian unsigned 32-bit. Each document ends with
     ``end_id``, so a null or empty text is one piece of length 1. Repeated rows
-    and null ids are documents like any other. An empty table gives no pieces.
+    and null ids are documents like any other; long texts are read whole. An
+    empty table gives no pieces. ``cached``: runs of letters whose ids a worker
+    keeps, about 450 bytes each with their stems.
     """
     kind = arrow_type(docs, id_col)
     schema = pa.schema(
@@ -139,7 +142,7 @@ def tokenize(
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(tokenizer_path)
+        own = encoder(tokenizer_path, cached)
         for batch in batches:
             for part in slices(batch, 1):
                 rows: list[tuple] = []

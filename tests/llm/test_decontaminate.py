@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -71,6 +72,27 @@ def test_proximity():
         assert list(zip(*(x.tolist() for x in decontaminate.search(shard, queries, slop)))) == want
 
 
+@pytest.mark.parametrize("slop", [0, 2])
+def test_windows_of_common_words_are_followed_in_runs(monkeypatch, slop):
+    """2,000 windows of two common words against 20,000 words: the memory of a
+    run does not grow with the number of windows, and nothing is lost."""
+    rng = random.Random(4)
+    shard = decontaminate.Shard.of([[rng.choice([b"the", b"on"]) for _ in range(20_000)]])
+    items = [(i, [rng.choice([b"the", b"on"]) for _ in range(13)]) for i in range(2_000 if slop == 0 else 100)]
+    queries = decontaminate.Queries.of(items, 13)
+    tracemalloc.start()
+    got = decontaminate.search(shard, queries, slop)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000_000
+    few = decontaminate.Queries.of(items[:50], 13)
+    pairs = lambda found: sorted(zip(*(x.tolist() for x in found)))
+    monkeypatch.setattr(decontaminate, "HELD_POSTINGS", 1)
+    one = pairs(decontaminate.search(shard, few, slop))
+    monkeypatch.setattr(decontaminate, "HELD_POSTINGS", 10**9)
+    assert one == pairs(decontaminate.search(shard, few, slop)) == [p for p in pairs(got) if p[0] < len(few.windows)]
+
+
 def test_empty_tables(spark, frame):
     none, one = frame([], key="item_id"), frame([(1, "a b")])
     assert decontaminate.contamination(frame([]), none).count() == 0

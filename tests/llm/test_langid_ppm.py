@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from liftlens.llm import langid_ppm
 
@@ -78,6 +79,16 @@ def test_more_ngrams_than_are_broadcast(spark, frame, max_nodes):
     assert (3, "xx") in [r[:2] for r in got]
 
 
+@pytest.mark.parametrize("max_nodes", [1, 400_000])
+def test_carried_columns_may_have_any_name(spark, frame, max_nodes):
+    names = ("code", "bits", "times", "letters", "_row", "_code", "_more", "__bits")
+    docs = frame([(i, t) for i, (_, t) in enumerate(TRAIN)], lang=("string", [a for a, _ in TRAIN]))
+    asked = frame([(1, "The thing!"), (2, "chats ÉTÉ"), (3, None)]).select("doc_id", "text", *(F.lit(f"{c}!").alias(c) for c in names))
+    got = langid_ppm.identify(asked, langid_ppm.learn(docs, max_nodes=max_nodes), carry=("text", *names)).collect()
+    assert sorted((r.doc_id, r.lang_pred, r.text) for r in got) == [(1, "en", "The thing!"), (2, "fr", "chats ÉTÉ"), (3, "und", None)]
+    assert all(r[c] == f"{c}!" for r in got for c in names)
+
+
 def test_no_languages(spark, frame):
     trees = langid_ppm.learn(frame([], lang=("string", [])))
     assert trees.langs == []

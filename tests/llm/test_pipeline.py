@@ -4,6 +4,7 @@ import pytest
 import __spark_entry__ as E
 import corpus_pipeline
 from liftlens.llm import packing, secrets
+from liftlens.llm.common import without
 from tests.conftest import SF0001
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_near_dup import brute as duplicates
@@ -56,6 +57,17 @@ def test_queries_equal_their_oracles(spark, name):
     assert sorted(map(tuple, df.select(*columns).collect()), key=str) == sorted(want, key=str)
 
 
+def test_rows_without_listed_ids(spark):
+    """Exact whatever the filter lets through; null ids and repeated rows stay."""
+    rows = spark.createDataFrame([(i % 900, f"t{i}", "x") for i in range(1000)] + [(None, "none", "x")], "doc_id long, text string, _listed string")
+    ids = spark.createDataFrame([(i,) for i in range(0, 2000, 3)] + [(None,)], "doc_id long")
+    got = without(rows, ids, "doc_id")
+    assert got.columns == rows.columns
+    want = [(i % 900, f"t{i}", "x") for i in range(1000) if i % 900 % 3] + [(None, "none", "x")]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert without(rows, ids.limit(0), "doc_id").count() == rows.count()
+
+
 def test_registry():
     names = [n for n in E.queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()

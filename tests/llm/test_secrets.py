@@ -1,4 +1,7 @@
 import re
+import time
+
+import pytest
 
 from liftlens.llm import secrets
 
@@ -83,3 +86,12 @@ def test_redact():
     text = "a password=abcdefghijkl z"
     assert secrets.redact(text, secrets.scan_text(text)[1]) == "a [secret] z"
     assert secrets.redact("plain", []) == "plain"
+
+
+@pytest.mark.parametrize("unit", ["a", "A", "a.b-c", " ", '"', "'", "9.", "_=", "a ", '"a', "a+", "="])
+def test_long_runs_are_read_once(unit):
+    text = unit * (1_000_000 // len(unit)) + '\napi_key = "Zx81kQ0pLm93nB21"'
+    began = time.process_time()
+    found = [text[lo:hi] for kind, lo, hi in secrets.scan_text(text)[1] if kind == "literal"]
+    assert time.process_time() - began < 3  # quadratic work would take hours
+    assert found == ["Zx81kQ0pLm93nB21"] or unit in "\"'"  # an open quote ends with its line
