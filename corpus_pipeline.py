@@ -13,15 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftlens.llm import decontaminate, langid_ppm, near_dup, packing, secrets
-from liftlens.llm.common import materialize, table, without
+from liftlens.llm.common import bound_batches, materialize, table, without
 from liftlens.llm.queries import ppm_held_out, tokenizer_path
 
 MIN_LANGUAGE_SCORE = 0.5
+CACHED_RUNS = 100_000  # of the tokenizer; workers hold what earlier stages left besides
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: no letter in the text, or no language
     with at least half of the score."""
+    bound_batches(spark)
     trees = langid_ppm.learn(docs.filter(~ppm_held_out()))
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     read = docs.select("doc_id", "text", *(F.col(c).alias(f"_{c}") for c in others))
@@ -32,12 +34,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate component."""
+    bound_batches(spark)
     copies = near_dup.near_duplicates(docs).filter("doc_id is not null and not kept").select("doc_id").distinct()
     return without(docs.filter("doc_id is not null"), materialize(copies, "copies"), "doc_id")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages in a twentieth of their words or more."""
+    bound_batches(spark)
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     hit = found.filter("contaminated and doc_id is not null").select("doc_id").distinct()
     return without(docs, materialize(hit, "contaminated"), "doc_id")
@@ -45,6 +49,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts; n_chars follows where a text changed."""
+    bound_batches(spark)
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
     read = docs.select("doc_id", "text", *(F.col(c).alias(f"_{c}") for c in others))
     found = secrets.scan(read, with_text=True, carry=tuple(f"_{c}" for c in others))
@@ -57,7 +62,8 @@ def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in the packed sequences."""
-    pieces = packing.tokenize(docs, tokenizer_path())
+    bound_batches(spark)
+    pieces = packing.tokenize(docs, tokenizer_path(), cached=CACHED_RUNS)
     about = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
     return packing.pack(materialize(about, "pieces"))
 
