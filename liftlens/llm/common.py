@@ -7,6 +7,7 @@ import gc
 import uuid
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from itertools import chain
 
 import numpy as np
@@ -16,26 +17,47 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftlens.operators.prefilter import mark_listed
-from liftlens.session import ensure_checkpoint_dir
+from liftlens.session import delete_path, ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder that the cluster names."""
-    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+_SCOPES: list[list[str]] = []  # paths made inside each open ``scratch`` block
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def shared_path(spark: SparkSession, name: str, stays: bool = False) -> str:
+    """A fresh path under the shared folder that the cluster names; a ``scratch``
+    block deletes it at its end unless it ``stays``."""
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _SCOPES if not stays else ():
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that are written inside the block when it ends. What is
+    read afterwards must be materialized inside it with ``stays``."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+        for path in made:
+            delete_path(spark, path)
+
+
+def materialize(df: DataFrame, name: str, stays: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Cuts the lineage: a lost executor re-reads the table and repeats none of
     the work (or side effects) behind it.
     """
     spark = df.sparkSession
-    path = shared_path(spark, name)
+    path = shared_path(spark, name, stays)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,7 +4,8 @@ import pytest
 import __spark_entry__ as E
 import corpus_pipeline
 from liftlens.llm import packing, secrets
-from liftlens.llm.common import without
+from liftlens.llm.common import materialize, scratch, without
+from liftlens.session import path_exists
 from tests.conftest import SF0001
 from tests.llm.test_decontaminate import brute as hits
 from tests.llm.test_near_dup import brute as duplicates
@@ -68,6 +69,16 @@ def test_rows_without_listed_ids(spark):
     assert without(rows, ids.limit(0), "doc_id").count() == rows.count()
 
 
+def test_scratch_tables_go_and_kept_ones_stay(spark):
+    with scratch(spark):
+        used = materialize(spark.range(5), "used")
+        kept = materialize(used.filter("id > 2"), "kept", stays=True)
+        path = used.inputFiles()[0].rsplit("/", 1)[0]
+        assert path_exists(spark, path)
+    assert not path_exists(spark, path)
+    assert sorted(r.id for r in kept.collect()) == [3, 4]
+
+
 def test_registry():
     names = [n for n in E.queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
