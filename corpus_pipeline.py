@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftlens.llm import decontaminate, langid_ppm, near_dup, packing, secrets
-from liftlens.llm.common import bound_batches, materialize, table, without
+from liftlens.llm.common import bound_batches, materialize, scratch, table, without
 from liftlens.llm.queries import ppm_held_out, tokenizer_path
 
 MIN_LANGUAGE_SCORE = 0.5
@@ -35,16 +35,20 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each near-duplicate component."""
     bound_batches(spark)
-    copies = near_dup.near_duplicates(docs).filter("doc_id is not null and not kept").select("doc_id").distinct()
-    return without(docs.filter("doc_id is not null"), materialize(copies, "copies"), "doc_id")
+    with scratch(spark):
+        copies = near_dup.near_duplicates(docs).filter("doc_id is not null and not kept").select("doc_id").distinct()
+        copies = materialize(copies, "copies", stays=True)
+    return without(docs.filter("doc_id is not null"), copies, "doc_id")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold benchmark passages in a twentieth of their words or more."""
     bound_batches(spark)
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
-    hit = found.filter("contaminated and doc_id is not null").select("doc_id").distinct()
-    return without(docs, materialize(hit, "contaminated"), "doc_id")
+    with scratch(spark):
+        found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
+        hit = found.filter("contaminated and doc_id is not null").select("doc_id").distinct()
+        hit = materialize(hit, "contaminated", stays=True)
+    return without(docs, hit, "doc_id")
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
