@@ -10,7 +10,7 @@ single-task scan and join of the test data, not the operators.)
 Each query is run to completion through the no-op sink (nothing is pulled to
 the driver): two warm-up runs, then the median of $BENCH_RUNS (5) timed runs.
 ``dashboard_all`` is the whole dashboard as a user runs it: the user-day
-rollup, decile sums and overlap pairs are checkpointed once, then every
+rollup, decile sums and overlap state are written once, then every
 report is computed from them. ``standin_views_ctr_by_decile`` is the
 registered query as the correctness check runs it, deriving the stand-ins
 from the test tables inside the plan.
@@ -68,6 +68,7 @@ def dashboard_all(tables) -> None:
         d.score_correlation(),
     ):
         run(report)
+    d.release()
 
 
 def timed(fn, runs: int) -> float:

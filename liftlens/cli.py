@@ -5,9 +5,9 @@
         --impressions logs.impressions --clicks logs.clicks --scores models.scores \\
         --line-item-table dim.line_items --segments dim.segments
 
-The six dashboard inputs become arguments; every report is written as a
-Parquet table under ``--out`` (a shared folder). The user-day rollup, decile
-sums and overlap pairs are checkpointed once into ``spark.checkpoint.dir``.
+The six dashboard inputs become arguments; all reports are published as one run
+under ``--out`` (a shared folder). The user-day rollup, decile sums and overlap
+state are written once into ``spark.checkpoint.dir``; the rollup is dropped at the end.
 """
 
 from __future__ import annotations
@@ -45,7 +45,11 @@ def parse_args(argv=None) -> argparse.Namespace:
 def run(spark: SparkSession, args: argparse.Namespace) -> dict[str, str]:
     params = Params.from_text(args.start, args.end, args.orders, args.model1, args.model2, args.line_item_ids, args.alpha, args.user_key)
     names = TableNames(args.impressions, args.clicks, args.scores, args.line_item_table, args.segments)
-    return Dashboard(read_catalog(spark, names), params).save(args.out)
+    dashboard = Dashboard(read_catalog(spark, names), params)
+    try:
+        return dashboard.save(args.out)
+    finally:
+        dashboard.release()
 
 
 def main(argv=None) -> None:
