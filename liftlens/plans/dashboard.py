@@ -48,7 +48,9 @@ class Dashboard:
     @property
     def user_days(self) -> DataFrame:
         if self._user_days is None:
-            self._user_days = events.rollup_user_day(self.impressions(), self.clicks(), self.filter_words)
+            self._user_days = events.rollup_user_day(
+                self.impressions(), self.clicks(), self.filter_words, self.tables.together
+            )
         return self._user_days
 
     def materialize(self) -> "Dashboard":

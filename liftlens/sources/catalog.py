@@ -22,13 +22,18 @@ class TableNames:
 
 @dataclass(frozen=True)
 class Tables:
-    """The five input frames every report is built from."""
+    """The five input frames every report is built from.
+
+    ``together`` names a serve key by which the rows of both logs already lie
+    together, if any (see ``operators.events``); a wrong name costs work only.
+    """
 
     impressions: DataFrame
     clicks: DataFrame
     scores: DataFrame
     line_items: DataFrame
     segment_trait: DataFrame
+    together: str | None = None
 
     def validate(self) -> "Tables":
         schemas.check_columns(self.impressions, schemas.LOG_COLUMNS, "impressions")

@@ -113,6 +113,7 @@ def standin_tables(spark: SparkSession, sf_dir: str) -> Tables:
         scores=f["scores"],
         line_items=f["line_items"],
         segment_trait=f["segment_trait"],
+        together="AdUnitId",  # the order key, by which both logs are joined
     )
 
 

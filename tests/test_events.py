@@ -157,3 +157,21 @@ def test_another_targeting_key(spark):
     p = Params(P.start_date, P.end_date, P.order_ids, P.models, user_key="own_key")
     got = events.user_days(frame, frame, p).collect()
     assert got and {r.xid_imp for r in got} == {"u1"}
+
+
+@pytest.mark.parametrize("together", ["AdUnitId", "CityId", "Time"])
+def test_logs_that_lie_together_give_the_same_rollup(spark, together):
+    rng = random.Random(13)
+    imps = [_row(rng) for _ in range(120)]
+    clicks = [_row(rng) for _ in range(60)] + imps[:10] + imps[:3]
+    i = events.impressions_filtered(spark.createDataFrame(imps, DELIVERY_LOG), P)
+    c = events.clicks_filtered(spark.createDataFrame(clicks, DELIVERY_LOG), P)
+    for words in (1, 1 << 14):
+        rows = events.rollup_user_day(i, c, words, together).collect()
+        assert {(r.xid_imp, r.date): (r.impressions, r.clicks) for r in rows} == _brute(imps, clicks, P)
+
+
+def test_only_a_serve_key_can_hold_logs_together(spark):
+    none = spark.createDataFrame([], DELIVERY_LOG)
+    with pytest.raises(ValueError):
+        events.rollup_user_day(events.impressions_filtered(none, P), events.clicks_filtered(none, P), together="xid")

@@ -72,6 +72,24 @@ def test_click_match_plan(no_broadcast):
     assert all("orderkey" in j or "xxhash64" in j for j in re.findall(r"Join \[[^\n]*", plan))
 
 
+def test_joined_logs_are_matched_where_they_are(no_broadcast):
+    """Both stand-in logs come out of a join on the ad unit: no serve key is
+    exchanged after it, the user-days once, and a serve's window needs no exchange."""
+    t, p = _standins(no_broadcast)
+    plan = _plan(Dashboard(t, p).user_days)
+    assert not re.findall(r"- Exchange [^\n]*serve#", plan)
+    assert len(_exchanges(plan, "xid_imp")) == 1
+    assert "Window [sum(n_clicks" in plan
+
+
+def test_counts_of_the_logs_are_read_once(no_broadcast):
+    from liftlens.operators import events
+
+    t, p = _standins(no_broadcast)
+    plan = _plan(events.user_days(t.impressions, t.clicks, p))
+    assert not re.findall(r"ReusedExchange \[xid_imp", plan)
+
+
 def _standins(spark):
     from liftlens.plans.queries import DEFAULT_PARAMS
     from liftlens.sources.standins import standin_tables
