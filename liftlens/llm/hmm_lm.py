@@ -8,10 +8,11 @@ one, has a probability.
 * Word counts cover all training texts: counted per task, summed by Spark. The
   counts of the most frequent words (``COUNTED`` at most) are broadcast; the
   rest is joined by word, so no frequent word is ever a join key.
-* First parameters come from Baum-Welch on a bounded sample (``SAMPLE_DOCS``
-  texts of at most ``SAMPLE_CHARS`` characters).
-* Each full pass runs the scaled forward-backward recursion over all training
-  texts; every task sums its expected counts and Spark adds them up.
+* All training texts are written once as symbols, so that passes split no text.
+* First parameters are the overall word shares, shaken apart by state with a
+  fixed seed, with states that seldom move: no text is preferred to another.
+* Each pass runs the scaled forward-backward recursion over all training texts;
+  every task sums its expected counts and Spark adds them up.
 * The scaled forward recursion gives each text's exact likelihood.
 
 Texts of a slice run in step, so the recursions are array operations.
@@ -32,16 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_type, id_crc, index_words, materialize, slices, text_sums
+from .common import arrow_type, drop_table, id_crc, index_words, materialize, slices, text_sums
 
 STATES = 6
 SYMBOLS = 16384
 BUCKETS = 256
 COUNTED = 131072
-PASSES = 1
-SAMPLE_DOCS = 400
-SAMPLE_CHARS = 20_000
-SAMPLE_ITERATIONS = 12
+PASSES = 2
+SHAKE = 0.4  # standard deviation of the logarithm of a first emission
+STAY = 0.998  # first probability to stay in a state
 PRIOR = 0.1
 FLUSH_WORDS = 300_000
 END = b" "  # no word has a space
@@ -254,41 +254,51 @@ def estimate(starts: np.ndarray, moves: np.ndarray, counts: np.ndarray, prior: n
 
 
 def first_parameters(vocab: Vocabulary, states: int) -> Parameters:
-    """The word distribution, shaken apart by state with a fixed seed; states tend to stay."""
+    """The word distribution, shaken apart by state with a fixed seed; states seldom move."""
     shares = vocab.weights() + vocab.prior()
-    shaken = shares[:, None] * np.exp(0.7 * np.random.default_rng(0).standard_normal((len(shares), states)))
-    move = np.full((states, states), 0.1 / max(1, states - 1)) + np.eye(states) * 0.9
+    shaken = shares[:, None] * np.exp(SHAKE * np.random.default_rng(0).standard_normal((len(shares), states)))
+    move = np.full((states, states), (1 - STAY) / max(1, states - 1))
+    np.fill_diagonal(move, STAY)
     return Parameters(np.full(states, 1.0 / states), move / move.sum(axis=1, keepdims=True), shaken / shaken.sum(axis=0))
 
 
-def fit_sample(texts: list[str], vocab: Vocabulary, states: int, iterations: int) -> Parameters:
-    """Baum-Welch on a bounded list of texts; words it lacks keep their overall share."""
-    p = first_parameters(vocab, states)
-    symbols, bounds, *_ = vocab.observations([words_of(t) for t in texts])
-    if not len(symbols):
-        return p
-    laid = InStep(symbols, bounds)
-    shares = vocab.weights() + vocab.prior()
-    prior = shares / shares.sum() * 0.2 * len(symbols)
-    for _ in range(iterations):
-        p = estimate(*laid.expected(p), prior)
-    return p
+def encode(texts: DataFrame, vocab: Vocabulary, text_col: str = "text") -> DataFrame:
+    """``symbols`` (binary): the symbols of each text with its end, in row order."""
+    shared = texts.sparkSession.sparkContext.broadcast(vocab)
+    kind = _kind(vocab)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
+        for batch in batches:
+            for part in slices(batch, 0, max_bytes=2_000_000):
+                symbols, bounds, *_ = vocab.observations([words_of(t) for t in part.column(0).to_pylist()])
+                symbols = symbols.astype(kind)
+                texts = [symbols[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.binary())], names=["symbols"])
 
+    return texts.select(text_col).mapInArrow(run, "symbols binary")
 
-def baum_welch(texts: DataFrame, vocab: Vocabulary, p: Parameters, text_col: str = "text") -> Parameters:
-    """One pass over all ``texts``: expected counts per task, summed by Spark."""
+
+def _kind(vocab: Vocabulary) -> np.dtype:
+    return np.dtype("<u2" if vocab.n_symbols <= 1 << 16 else "<u4")
+
+
+def baum_welch(encoded: DataFrame, vocab: Vocabulary, p: Parameters) -> Parameters:
+    """One pass over all ``encoded`` texts: expected counts per task, summed by Spark."""
     states = len(p.start)
-    model = texts.sparkSession.sparkContext.broadcast((vocab, p))
+    model = encoded.sparkSession.sparkContext.broadcast(p)
+    kind = _kind(vocab)
     names = [f"s{i}" for i in range(states)]
     schema = pa.schema([("k", pa.int64()), *((n, pa.float64()) for n in names)])
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, p = model.value
+        p = model.value
         sums = None
         for batch in batches:
-            for part in slices(batch, 0, max_bytes=2_000_000):
-                symbols, bounds, *_ = vocab.observations([words_of(t) for t in part.column(0).to_pylist()])
-                got = InStep(symbols, bounds).expected(p)
+            for part in slices(batch, 0, max_bytes=300_000 * kind.itemsize):
+                texts = part.column(0).to_pylist()
+                bounds = np.cumsum([0, *(len(t) // kind.itemsize for t in texts)])
+                got = InStep(np.frombuffer(b"".join(texts), kind).astype(np.int64), bounds).expected(p)
                 sums = got if sums is None else tuple(a + b for a, b in zip(sums, got))
         if sums is not None:
             starts, moves, counts = sums
@@ -298,7 +308,7 @@ def baum_welch(texts: DataFrame, vocab: Vocabulary, p: Parameters, text_col: str
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(np.ascontiguousarray(c)) for c in rows.T)], schema=schema)
 
     out = T.StructType([T.StructField("k", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names)])
-    parts = texts.select(text_col).mapInArrow(expect, out)
+    parts = encoded.mapInArrow(expect, out)
     summed = parts.groupBy("k").agg(*(F.sum(n).alias(n) for n in names)).toArrow()  # at most symbols + states + 1 rows
     keys = np.asarray(summed["k"].to_numpy())
     values = np.column_stack([summed[n].to_numpy() for n in names])
@@ -323,18 +333,20 @@ def train(
     passes: int = PASSES,
     symbols: int = SYMBOLS,
     counted: int = COUNTED,
-    sample_docs: int = SAMPLE_DOCS,
+    sample_docs: int | None = None,
 ) -> Model:
     """Fit a model on all rows of ``texts``. An empty table gives a model that
-    knows no word. A null text is an empty one."""
+    knows no word. A null text is an empty one. ``sample_docs`` has no effect any
+    more; older calls name it.
+    """
     counts = materialize(token_counts(texts, text_col), "lm-counts")
     vocab = learn_vocabulary(counts, symbols, counted)
-    short = texts.filter(F.char_length(text_col) <= SAMPLE_CHARS)
-    ids = [r[0] for r in short.select(id_col).orderBy(F.xxhash64(id_col), id_col).limit(sample_docs).collect()]
-    sample = short.filter(F.col(id_col).isin(ids)).select(text_col).limit(2 * sample_docs).collect() if ids else []
-    p = fit_sample(sorted(r[0] for r in sample), vocab, states, SAMPLE_ITERATIONS)
-    for _ in range(passes):
-        p = baum_welch(texts, vocab, p, text_col)
+    p = first_parameters(vocab, states)
+    if passes:
+        encoded = materialize(encode(texts, vocab, text_col), "lm-symbols")
+        for _ in range(passes):
+            p = baum_welch(encoded, vocab, p)
+        drop_table(encoded)
     return Model(vocab, p, counts)
 
 

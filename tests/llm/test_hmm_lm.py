@@ -76,3 +76,30 @@ def test_empty_tables(spark, frame):
     assert hmm_lm.score(frame([]), model).count() == 0
     (row,) = hmm_lm.score(frame([(1, "a b")]), model).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score) == (3, 0, 0, 0.0)
+
+
+def test_every_text_shapes_the_parameters(spark, frame, prose):
+    """The ids of the texts choose none of them, and long ones count like others."""
+    texts = [prose(50 + i, i) for i in range(30)] + [prose(6000, 99)]
+    assert len(texts[-1]) > 20_000
+    one, other = (hmm_lm.train(frame([(k * 7919 + i, t) for i, t in enumerate(texts)]), sample_docs=4).parameters for k in (0, 1))
+    for a, b in ((one.start, other.start), (one.move, other.move), (one.emit, other.emit)):
+        assert np.allclose(a, b)
+    # as one pass after the other over all texts at once
+    vocab = hmm_lm.train(frame(list(enumerate(texts))), passes=0).vocab
+    symbols, bounds, *_ = vocab.observations([hmm_lm.words_of(t) for t in texts])
+    want = hmm_lm.first_parameters(vocab, hmm_lm.STATES)
+    for _ in range(hmm_lm.PASSES):
+        want = hmm_lm.estimate(*hmm_lm.InStep(symbols, bounds).expected(want), vocab.prior())
+    assert np.allclose(one.emit, want.emit) and np.allclose(one.move, want.move)
+
+
+def test_symbols_of_all_texts_are_written(spark, frame):
+    docs = frame([(1, "a b a"), (2, None), (3, ""), (3, "")])
+    vocab = hmm_lm.train(docs, passes=0).vocab
+    for vocab.symbols in (2, 70_000):  # two bytes a symbol, four bytes
+        kind = hmm_lm._kind(vocab)
+        vocab.words = {b"a": 0, b"b": 1}
+        got = sorted(np.frombuffer(r.symbols, kind).tolist() for r in hmm_lm.encode(docs, vocab).collect())
+        end = vocab.n_symbols - 1
+        assert got == [[0, 1, 0, end], [end], [end], [end]]
