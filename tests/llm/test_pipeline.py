@@ -83,3 +83,20 @@ def test_registry():
     names = [n for n in E.queries() if n.startswith("op") and n[2].isdigit()]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in E.queries()
     assert packing.WINDOW == 4096
+
+
+def test_batches_of_texts_are_bounded(spark):
+    from liftlens.llm.common import bound_batches
+
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    old = [spark.conf.get(n) for n in names]
+    try:
+        for n, v in zip(names, (0, 4096)):
+            spark.conf.set(n, v)
+        bound_batches(spark, 100)
+        assert [int(spark.conf.get(n)) for n in names] == [100, 50]
+        bound_batches(spark)  # a smaller bound stays
+        assert [int(spark.conf.get(n)) for n in names] == [100, 50]
+    finally:
+        for n, v in zip(names, old):
+            spark.conf.set(n, v)
