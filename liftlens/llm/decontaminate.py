@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_type, index_words, materialize, shared_path, slices, tidy
+from .common import LARGE_ROWS, arrow_type, index_words, large_rows, materialize, shared_path, slices, tidy
 
 WINDOW = 13
 SHARD_BYTES = 1_000_000
@@ -90,7 +90,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     fields = {"shard": long, "ids": T.ArrayType(docs.schema[id_col].dataType), "lengths": T.ArrayType(long)}
     fields |= {"terms": T.ArrayType(binary), "starts": binary, "positions": binary}
     rows = docs.select(id_col, text_col).mapInArrow(tidy(run), T.StructType([T.StructField(k, v) for k, v in fields.items()]))
-    return materialize(rows, "postings")
+    return materialize(rows, "postings", options=LARGE_ROWS)
 
 
 @dataclass
@@ -271,7 +271,8 @@ def find(
 
         # written block by block, so that one block's windows are held at a time
         found = index.select("shard", "lengths", "terms", "starts", "positions").mapInArrow(tidy(run), out)
-        found.write.mode("append").parquet(path)
+        with large_rows(spark):
+            found.write.mode("append").parquet(path)
         shared.destroy()
     return None if path is None else spark.read.schema(out).parquet(path)
 

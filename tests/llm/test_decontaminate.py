@@ -109,3 +109,37 @@ def test_query_counts_passages_of_items_without_an_id(spark, tmp_path):
     spark.createDataFrame([(None, "a b"), (5, "y z")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted((r.doc_id, r.n_hit, r.n_items, r.contaminated) for r in op9_decontaminate(spark, str(tmp_path)).collect())
     assert got == [(1, 2, 0, True), (2, 4, 1, True), (3, 0, 0, False)]
+
+
+def test_rows_of_the_index_are_held_one_by_one(spark, monkeypatch):
+    """Wide rows: small row groups in the files, one row in a batch of the search, results as before."""
+    import pyarrow.parquet as pq
+
+    random_words = random.Random(7)
+    vocab = [f"w{i}" for i in range(20_000)]
+    texts = [(i, " ".join(random_words.choices(vocab, k=200_000))) for i in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    index = decontaminate.build_index(docs)
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in index.inputFiles()]
+    groups = [m.row_group(i).total_byte_size for m in files for i in range(m.num_row_groups)]
+    assert sum(groups) > 10_000_000 and max(groups) < 9_000_000
+
+    batches, rows = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(run):
+        def count(given):
+            for batch in given:
+                batches.add(1)
+                rows.add(batch.num_rows)
+                yield batch
+
+        return lambda given: run(count(given))
+
+    monkeypatch.setattr(decontaminate, "tidy", counted)
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(n) for n in names]
+    items = spark.createDataFrame([("a", " ".join(texts[5][1].split()[100:130]))], "item_id string, text string")
+    found = decontaminate.find(index, items).collect()
+    assert (batches.value, rows.value) == (12, 12)
+    assert [(r.item, [tuple(s) for s in r.spans]) for r in found] == [("a", [(100, 130)])]
+    assert [spark.conf.get(n) for n in names] == before
